@@ -16,6 +16,7 @@ doc_id comes first; an empty table gives no shard.
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -108,6 +109,7 @@ class Shard:
 @lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkCache:
     tokenizer = load(path)
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already
 
     def encode(chunks: list[bytes]) -> list[bytes]:
         found = tokenizer.encode_batch_fast([x.decode() for x in chunks], add_special_tokens=False)
@@ -126,8 +128,8 @@ def encode_texts(raw: np.ndarray, offsets: np.ndarray, cache: ChunkCache, end: i
     lengths = segment_sums(n, first)
     # ids go to their places; the end ids fill the places that stay
     out = np.full(int(lengths.sum()) + len(lengths), end, np.uint32)
-    source = np.arange(int(n.sum())) + np.repeat(begin[index] - (np.cumsum(n) - n), n)
-    out[np.arange(len(source)) + np.repeat(np.arange(len(lengths)), lengths)] = flat[source]
+    source = np.arange(int(n.sum()), dtype=np.int32) + np.repeat((begin[index] - (np.cumsum(n) - n)).astype(np.int32), n)
+    out[np.arange(len(source), dtype=np.int32) + np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)] = flat[source]
     return out, lengths + 1
 
 

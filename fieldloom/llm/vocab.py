@@ -1,7 +1,7 @@
 """Chunks of texts that a byte-level BPE tokenizer never merges across, with a bounded cache of what each one becomes.
 
 The tokenizer's pattern always parts at a single space or line feed between two characters that aren't white space, and
-between a letter and the mark that ends a word. Those places are found with numpy over the bytes of a batch; only places
+between runs of letters, digits and other signs (but after an apostrophe). Those places are found with numpy over the bytes of a batch; only places
 whose neighbours are ASCII or Latin-1 letters are cut, and text that stays uncut is encoded as one longer chunk, so the
 result is the library's. Added special tokens are cut out first, as the library does by default.
 """
@@ -15,16 +15,18 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-#: Chunks that a worker remembers; the cache then keeps those of the latest batch only.
-CACHE_CHUNKS = 400_000
+#: Chunks in each of the two generations of a worker's cache.
+CACHE_CHUNKS = 250_000
 #: Bytes of text that are encoded at a time.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 6_000_000
 _PRINTED = np.zeros(256, bool)
 _PRINTED[0x21:0x7F] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
-_MARK = np.zeros(256, bool)
-_MARK[[ord(x) for x in ".,;:!?"]] = True
+#: 1 for letters of ASCII, 2 for digits, 3 for its other signs, 0 for what isn't told from a byte.
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = 3
+_KIND[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = 1
+_KIND[ord("0") : ord("9") + 1] = 2
+_TIMES, _OVER = 0x97, 0xB7  # second bytes of the two signs among the Latin-1 letters
 
 
 def default_path(name: str) -> str:
@@ -52,19 +54,23 @@ def cuts(raw: np.ndarray, offsets: np.ndarray, special: dict[bytes, int]) -> np.
     padded = np.zeros(n + 3, np.uint8)
     padded[2 : n + 2] = raw
     two, one, here, after = padded[:n], padded[1 : n + 1], padded[2 : n + 2], padded[3 : n + 3]
-    latin = (one >= 0x80) & (two == 0xC3)  # the character before is a Latin-1 letter (or a sign that isn't white space)
+    solid = (_PRINTED[one] | ((one >= 0x80) & (two == 0xC3))) & (_PRINTED[after] | (after == 0xC3))
     cut = np.zeros(n + 1, bool)
-    solid = (_PRINTED[one] | latin) & (_PRINTED[after] | (after == 0xC3))
     cut[:n] = ((here == 0x20) | (here == 0x0A)) & solid
     feed = np.flatnonzero(cut[:n] & (here == 0x0A))
-    cut[:n] |= _MARK[here] & _LETTER[one] & ((after == 0x20) | (after == 0x0A))
+    # where a run of letters, digits or other signs ends; an apostrophe may belong to the letters after it
+    kind = _KIND[here]
+    lead = np.flatnonzero((here == 0xC3) & (after != _TIMES) & (after != _OVER))
+    lead = lead[lead + 1 < n]
+    kind[lead] = kind[lead + 1] = 1
+    cut[1:n] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0) & (raw[:-1] != 0x27)
     cut[feed + 1] = True
     cut[offsets] = True
     for token in special:
         data, at = raw.tobytes(), -1
         while (at := data.find(token, at + 1)) >= 0:
-            cut[at] = cut[at + len(token)] = True
             cut[at + 1 : at + len(token)] = False
+            cut[at] = cut[at + len(token)] = True
     return np.flatnonzero(cut)
 
 
@@ -74,23 +80,27 @@ class ChunkCache:
     def __init__(self, path: str, value: Callable[[list[bytes]], list], special: Callable[[int], object]):
         self.special = special_tokens(path)
         self.fixed = {t: special(i) for t, i in self.special.items()}
-        self.value, self.known = value, {}
+        self.value, self.known, self.older = value, {}, {}
 
     def look_up(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
         """The values of the distinct chunks, the index of each chunk's value, and of each text's first chunk."""
         at = cuts(raw, offsets, self.special)
-        if at[0] != 0 or len(at) < 2:
+        if len(at) < 2:
             return [], np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
         chunks = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))])
         encoded = chunks.dictionary_encode()
         distinct = encoded.dictionary.to_pylist()
-        self.known.update(self.fixed)
-        if missing := [x for x in distinct if x not in self.known]:
-            self.known.update(zip(missing, self.value(missing), strict=True))
-        out = list(map(self.known.__getitem__, distinct))
-        if len(self.known) > CACHE_CHUNKS:
-            self.known = dict(zip(distinct, out, strict=True)) if len(distinct) <= CACHE_CHUNKS else {}
-        return out, encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.searchsorted(at[:-1], offsets)
+        if len(self.known) > CACHE_CHUNKS:  # chunks that were used lately move to the younger generation again
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        known.update(self.fixed)
+        missing = [x for x in distinct if x not in known]
+        if older:
+            known.update((x, older[x]) for x in missing if x in older)
+            missing = [x for x in missing if x not in older]
+        if missing:
+            known.update(zip(missing, self.value(missing), strict=True))
+        return list(map(known.__getitem__, distinct)), encoded.indices.to_numpy(zero_copy_only=False), np.searchsorted(at[:-1], offsets)
 
 
 def segment_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
