@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.llm import dac, html_extract, token_counts, winnowing
+from fieldloom.llm import chat_links, dac, html_extract, jaccard_join, language_id, license_rules, media, mixing, token_counts, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(_table(spark, sf_dir, "pages"))
 
 
+def op2_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_links.link_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op3_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.token_file_digest(_table(spark, sf_dir, "documents"))
 
@@ -23,9 +27,49 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_rules.license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(_table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return mixing.mixture(docs).select("doc_id", "source", "lang", "topic", "n_words", "weight", "p_keep", "kept")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(_table(spark, sf_dir, "documents"))
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(_table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op3_token_id_files, op4_token_counts, op10_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_html_extraction,
+        op2_tool_call_linking,
+        op3_token_id_files,
+        op4_token_counts,
+        op5_license_scan,
+        op6_ngram_jaccard_join,
+        op7_source_mixing,
+        op8_language_id,
+        op9_media_columns,
+        op10_decontamination,
+    )
+}
+
+#: Words of the license contract, and places of a phrase's words, as lists.
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '')"
+
+#: The contracts that SQL can express in full have their SQL here; the others are tested against brute force.
 ORACLE: dict[str, str] = {}
