@@ -44,8 +44,8 @@ FLUSH = 2_000_000
 TILE = 512
 #: Bits of the fixed-size filter that tells which sets are wanted; false positives only cost time.
 FILTER_BITS = 1 << 23
-#: Columns of the histogram that bounds a difference from below.
-BINS = 64
+#: Columns of the histogram that bounds a difference from below; counts stay in a byte.
+BINS = 256
 
 
 def _int(x: int) -> np.uint64:
@@ -279,13 +279,13 @@ def _wanted(keys: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, n: int, keys: DataFrame) -> DataFrame:
-    """``key, grams, columns``: the sets that ``keys`` names (and a few more), each once a task, with column counts."""
+    """``key, grams, size, columns``: the sets that ``keys`` names (and a few more), each once a task, with column counts."""
     wanted = docs.sparkSession.sparkContext.broadcast(_wanted(keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, seen = wanted.value, set()
         for batch in batches:
-            keys, sets, columns = [], [], []
+            keys, sets, sizes, columns = [], [], [], []
             for grams in ngram_sets(batch.column(0), n):
                 if not len(grams):
                     continue
@@ -296,10 +296,11 @@ def _sets(docs: DataFrame, n: int, keys: DataFrame) -> DataFrame:
                 seen.add(key)
                 keys.append(key)
                 sets.append(grams.tobytes())
-                columns.append(np.bincount((grams & U(BINS - 1)).astype(np.int64), minlength=BINS).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary()), pa.array(columns, pa.binary())], ["key", "grams", "columns"])
+                sizes.append(len(grams))
+                columns.append(np.minimum(np.bincount((grams & U(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(columns, pa.binary())], ["key", "grams", "size", "columns"])
 
-    found = docs.select("text").mapInArrow(run, "key long, grams binary, columns binary")
+    found = docs.select("text").mapInArrow(run, "key long, grams binary, size long, columns binary")
     return found.join(keys, "key", "left_semi").dropDuplicates(["key"])
 
 
@@ -338,39 +339,44 @@ def _multiply(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _across(cells: DataFrame, plan: Plan) -> DataFrame:
-    """``a, b`` of the rows of a tile that are in different components and whose bounds allow a link."""
+    """``a, b`` of the rows of a tile that are in different components and whose bounds allow a link.
+
+    A pair that shares several mixed blocks is given by the least of them alone, which each row's ``blocks`` tell.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: tuple | None = None
-        held: list[tuple[int, int, bool, bytes]] = []
+        held: list[tuple[int, int, int, bool, bytes, np.ndarray]] = []
 
         def pairs() -> Iterator[pa.RecordBatch]:
-            if len(held) < 2:
+            if len(held) < 2 or (group[1] != group[2] and len({x[3] for x in held}) == 1):
                 return
-            key = np.array([x[0] for x in held], np.int64)
-            root = np.array([x[1] for x in held], np.int64)
-            side = np.array([x[2] for x in held], bool)
-            counts = np.stack([np.frombuffer(x[3], np.uint32) for x in held]).astype(np.int64)
-            size = counts.sum(1)
-            left, right = (np.flatnonzero(side), np.flatnonzero(~side)) if side.any() and not side.all() else (np.arange(len(held)),) * 2
+            key, root, size, side = (np.array([x[k] for x in held]) for k in range(4))
+            counts = np.stack([np.frombuffer(x[4], np.uint8) for x in held]).astype(np.int16)
+            left, right = (np.flatnonzero(side), np.flatnonzero(~side)) if group[1] != group[2] else (np.arange(len(held)),) * 2
+            found: list[tuple[int, int]] = []
             for i in left.tolist():
                 total = size[i] + size[right]
                 bound = total - 2 * -(-plan.num * total // (plan.num + plan.den))
                 ok = (root[right] != root[i]) & (np.abs(counts[right] - counts[i]).sum(1) <= bound)
-                other = key[right[ok]]
-                if len(other):
-                    own = np.full(len(other), key[i])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own, other)), pa.array(np.maximum(own, other))], ["a", "b"])
+                for j in right[ok].tolist():
+                    if (key[i] < key[j] or side[i] != side[j]) and np.intersect1d(held[i][5], held[j][5], assume_unique=True)[0] == group[0]:
+                        found.append((min(key[i], key[j]), max(key[i], key[j])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
 
         for batch in batches:
-            for sig, lo, hi, key, root, tile, columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (sig, lo, hi) != group:
+            sig, lo, hi, key, root, tile, size, columns = (c.to_pylist() for c in batch.columns[:8])
+            blocks, at = batch.column(8).flatten().to_numpy(), batch.column(8).offsets.to_numpy()
+            at = at - at[0]
+            for k in range(batch.num_rows):
+                if (sig[k], lo[k], hi[k]) != group:
                     yield from pairs()
-                    group, held = (sig, lo, hi), []
-                held.append((key, root, tile == lo, columns))
+                    group, held = (sig[k], lo[k], hi[k]), []
+                held.append((key[k], root[k], size[k], tile[k] == lo[k], columns[k], blocks[at[k] : at[k + 1]]))
         yield from pairs()
 
-    dealt = cells.select("sig", "lo", "hi", "key", "root", "tile", "columns").repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
+    dealt = cells.select("sig", "lo", "hi", "key", "root", "tile", "size", "columns", "blocks").repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -407,9 +413,11 @@ def classes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     rooted = _rooted(members.select("sig", "key").distinct(), "key", roots, "root")
     mixed = rooted.groupBy("sig").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high and size > 2")
     mixed = mixed.select("sig", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
-    cells = rooted.join(mixed, "sig").withColumn("tile", F.pmod(F.hash("key"), "tiles")).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+    rows = work.keep(rooted.join(mixed, "sig"), "mixed")
+    blocks = rows.groupBy("key").agg(F.sort_array(F.collect_list("sig")).alias("blocks"))  # at most a set's column blocks
+    cells = rows.withColumn("tile", F.pmod(F.hash("key"), "tiles")).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
     cells = cells.select("sig", "key", "root", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
-    pairs = _across(cells.join(sets.select("key", "columns"), "key"), plan)
+    pairs = _across(cells.join(sets.select("key", "size", "columns").join(blocks, "key"), "key"), plan)
     tested = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     third = work.keep(_multiply(pairs.join(tested, ["a", "b"], "left_anti"), sets, plan), "third")
     done = done.union(third)
@@ -420,6 +428,6 @@ def classes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     nodes = _rooted(nodes, "key", roots, "root")
     named = nodes.join(nodes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
     named = work.keep(named, "named")
-    for name in ("members", "stars", "sets"):
+    for name in ("members", "stars", "sets", "mixed"):
         work.drop(name)
     return profile.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
