@@ -1,6 +1,9 @@
-"""Registered queries of the panel operators, and the SQL that checks them."""
+"""All registered queries of the panel operators, and the SQL that checks them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from fieldloom.queries import ORACLE, QUERIES, analysis, ensembles, inference, quality, relations, space, time
+
+__all__ = ["ORACLE", "QUERIES"]
+
+_MODULES = (time, relations, ensembles, analysis, space, quality, inference)

@@ -24,7 +24,7 @@ def reduction(how: str, value: Column, at: Column, weight: Column | None = None)
     """A gap-aware reduction of the steps of a cell or window by name; ``at`` orders them."""
     found = {
         "sum": lambda: F.sum(value),
-        "mean": lambda: F.avg(value) if weight is None else F.sum(value * weight) / F.sum(weight),
+        "mean": lambda: F.avg(value) if weight is None else F.try_divide(F.sum(value * weight), F.sum(weight)),
         "min": lambda: F.min(value),
         "max": lambda: F.max(value),
         "first": lambda: F.min_by(value, at),

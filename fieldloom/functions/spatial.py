@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EARTH_M = 6_371_000.0
+EARTH_M = 6_371_008.8
 #: Semi-major axis and flattening of WGS 84 (fixed values).
 A_M, FLATTENING = 6_378_137.0, 1 / 298.257223563
 
@@ -82,3 +82,9 @@ def solar_toa(us: Column, lon: Column, lat: Column, constant: float = 1361.0) ->
     angle = F.radians((hour * 60 + equation + 4 * lon) / 4 - 180)
     height = F.sin(F.radians(lat)) * F.sin(declination) + F.cos(F.radians(lat)) * F.cos(declination) * F.cos(angle)
     return constant * distance * F.greatest(height, F.lit(0.0))
+
+
+def angular_distance(lon: Column, lat: Column, lon0: float, lat0: float) -> Column:
+    """Degrees of arc from a center, by the spherical law of cosines."""
+    cosine = F.sin(F.radians(lat)) * math.sin(math.radians(lat0)) + F.cos(F.radians(lat)) * math.cos(math.radians(lat0)) * F.cos(F.radians(lon - lon0))
+    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
