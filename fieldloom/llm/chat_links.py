@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from fieldloom.llm.shared import Workspace
 
 EVENT_SCHEMA = "conv_id long, turn long, place int, role string, kind string, call_id string, name string, needs array<string>, errors array<string>, json string"
-#: Longest chain of dependencies that is followed; a longer one counts as unordered.
+#: Calls with several dependencies that are followed on one way; one with more before it counts as unordered.
 DEPTH = 1_000
 _KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
 #: The tool that a plain conversation is seen to call in ``as_tool_turns``.
@@ -119,7 +119,7 @@ def parse(turn: int | None, role: str | None, text: str | None, schemas: Mapping
             body = {"arguments": arguments, "depends_on": needs, "id": call.get("id"), "name": name, "role": role, "type": "call"}
             out.append((place, "call", call["id"] if isinstance(call.get("id"), str) and call["id"] else None, name if isinstance(name, str) else None, needs, errors, canonical(body)))
         return out
-    if held and role == "tool":
+    if held is not None and role == "tool":
         call_id = held.get("tool_call_id")
         call_id = call_id if isinstance(call_id, str) and call_id else None
         body = {"content": held.get("content"), "id": call_id, "role": role, "type": "result"}
@@ -184,7 +184,7 @@ def link(messages: DataFrame, schemas: Mapping[str, Mapping] = SCHEMAS) -> DataF
     linked = results.join(calls, ["conv_id", "call_id"]).where("result_turn > call_turn").select("call_row", "result_row", "call_turn", "result_turn")
     linked = work.keep(linked, "linked")
 
-    levels = _levels(calls, work)
+    levels = work.keep(_levels(calls, work), "levels")
     of_call = levels.join(linked.select("call_row", "result_turn"), "call_row", "left").select(F.col("call_row").alias("row"), "level", F.col("result_turn").alias("linked_turn"))
     of_result = linked.join(levels, "call_row", "left").select(F.col("result_row").alias("row"), (F.col("level") + 1).alias("level"), F.col("call_turn").alias("linked_turn"))
     placed = of_call.withColumn("is_call", F.lit(True)).union(of_result.withColumn("is_call", F.lit(False)))
@@ -203,29 +203,48 @@ def link(messages: DataFrame, schemas: Mapping[str, Mapping] = SCHEMAS) -> DataF
     return (
         every.join(placed, "row", "left")
         .join(again, "row", "left")
-        .select("conv_id", "turn", "place", "role", "kind", "call_id", "name", F.when(F.col("kind") == "message", F.lit(0)).otherwise(F.col("level")).alias("level"), status.alias("status"), "linked_turn", "errors", "json")
+        .select("conv_id", "turn", "place", "role", "kind", "call_id", "name", F.when(F.col("kind") == "message", F.lit(0)).otherwise(F.col("level")).cast("int").alias("level"), status.alias("status"), "linked_turn", "errors", "json")
     )
 
 
 def _levels(calls: DataFrame, work: Workspace) -> DataFrame:
     """``call_row, level`` of every call: 0 without dependencies, else two more than the highest of them; null in circles.
 
-    Each round gives a level to the calls whose dependencies all have one, so there are as many rounds as the longest
-    chain has calls.
+    Calls with one dependency form chains, which may be as long as a conversation: pointers along them double their reach
+    each round, to the chain's anchor (a call with none or several). The anchors' own levels take a round for each
+    call with several dependencies on the longest way, ``DEPTH`` at most.
     """
-    edges = calls.select("conv_id", "call_row", F.explode("needs").alias("call_id")).join(calls.select("conv_id", "call_id", F.col("call_row").alias("need_row")), ["conv_id", "call_id"], "left")
-    edges = work.keep(edges.select("call_row", "need_row"), "needs")
-    known = work.keep(calls.select("call_row", F.when(F.size("needs") == 0, 0).cast("int").alias("level")), "levels-0")
+    needs = calls.select("conv_id", "call_row", F.size("needs").alias("n"), F.explode_outer("needs").alias("call_id"))
+    edges = needs.join(calls.select("conv_id", "call_id", F.col("call_row").alias("need_row")), ["conv_id", "call_id"], "left")
+    edges = work.keep(edges.select("call_row", "n", "need_row"), "needs")
+    singles = edges.where("n = 1 and need_row is not null").select("call_row", F.col("need_row").alias("to_row"), F.lit(1).cast("long").alias("steps"))
+    jump = work.keep(singles, "jump-0")
+    for k in range(max(1, jump.count()).bit_length() + 1):
+        on = jump.select(F.col("call_row").alias("to_row"), F.col("to_row").alias("__to"), F.col("steps").alias("__steps"))
+        moved = jump.join(on, "to_row", "left")
+        jump = work.keep(
+            moved.select("call_row", F.coalesce("__to", "to_row").alias("to_row"), (F.col("steps") + F.coalesce("__steps", F.lit(0))).alias("steps"), F.col("__to").isNotNull().alias("moved")), f"jump-{k + 1}"
+        )
+        if not jump.where("moved").limit(1).count():
+            break
+    # pointers that still move are in circles or lead to one
+    anchored = jump.where("not moved").select("call_row", "to_row", "steps")
+    known = work.keep(edges.where("n <> 1").groupBy("call_row").agg(F.when(F.max("n") == 0, 0).cast("long").alias("level")), "levels-0")
+    several = edges.where("n > 1").select("call_row", "need_row").join(anchored.withColumnsRenamed({"call_row": "need_row"}), "need_row", "left")
+    several = work.keep(several.select("call_row", F.coalesce("to_row", "need_row").alias("need_row"), F.coalesce("steps", F.lit(0)).alias("steps")), "several")
+    waiting = several.select("call_row").distinct().count()
     for k in range(DEPTH):
-        waiting = known.where("level is null").select("call_row")
-        if not waiting.limit(1).count():
+        if not waiting:
             break
-        need = edges.join(waiting, "call_row", "left_semi").join(known.select(F.col("call_row").alias("need_row"), F.col("level").alias("need_level")), "need_row", "left")
-        ready = need.groupBy("call_row").agg(F.max("need_level").alias("high"), F.count_if(F.col("need_level").isNull()).alias("open")).where("open = 0").select("call_row", (F.col("high") + 2).alias("found"))
-        if not ready.limit(1).count():
+        level = known.select(F.col("call_row").alias("need_row"), F.col("level").alias("need_level"))
+        ready = several.join(level, "need_row", "left").groupBy("call_row").agg(F.max(F.col("need_level") + 2 * F.col("steps")).alias("high"), F.count_if(F.col("need_level").isNull()).alias("open"))
+        ready = ready.where("open = 0").select("call_row", (F.col("high") + 2).alias("found"))
+        known = work.keep(known.join(ready, "call_row", "left").select("call_row", F.coalesce("level", "found").alias("level")), f"levels-{k + 1}")
+        before, waiting = waiting, known.where("level is null").count()
+        if waiting == before:
             break
-        known = work.keep(known.join(ready, "call_row", "left").select("call_row", F.coalesce("level", "found").cast("int").alias("level")), f"levels-{k + 1}")
-    return known
+    chained = anchored.join(known.select(F.col("call_row").alias("to_row"), "level"), "to_row", "left").select("call_row", (F.col("level") + 2 * F.col("steps")).alias("level"))
+    return calls.select("call_row").join(known.unionByName(chained), "call_row", "left")
 
 
 def link_conversations(conversations: DataFrame) -> DataFrame:

@@ -83,7 +83,7 @@ class Plan:
         while spare < k + 12:
             p = k + 1 + spare
             mean = p * math.exp(-size / p)
-            tail = 1 - sum(math.exp(-mean) * mean**j / math.factorial(j) for j in range(spare + 1))
+            tail = 1 - sum(math.exp(j * math.log(mean) - mean - math.lgamma(j + 1)) for j in range(spare + 1))  # Poisson
             if tail < 1e-6:
                 break
             spare += 1

@@ -20,10 +20,13 @@ from collections.abc import Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldloom.llm.shared import Workspace
+from fieldloom.llm.text_kernel import NONSPACE, slices, utf8, word_spans
 
 CELLS = 200_000
 ROUNDS = 200
@@ -41,22 +44,36 @@ SEED = 20240607
 ADDED = ("topic", "n_words", "weight", "p_keep", "kept")
 
 
-def words(text: Column) -> Column:
-    """Spaces and line feeds plus one; none for a text without words."""
-    plain = F.coalesce(text, F.lit(""))
-    return F.when(F.trim(plain) == "", F.lit(0)).otherwise(F.length(plain) - F.length(F.translate(plain, " \n", "")) + 1).cast("long")
+#: Bytes that set a kind of content apart: cell marks, and signs other than punctuation.
+_CELLS = np.zeros(256, bool)
+_CELLS[ord("|")] = True
+_SIGNS = np.zeros(256, bool)
+_SIGNS[[ord(c) for c in "#$%&*!@+=<>{}[]^~"]] = True
+_BEGINS = (np.arange(256) & 0xC0) != 0x80  # of a code point
+KINDS = ("prose", "brief", "noise", "table")
 
 
-def topic(text: Column) -> Column:
-    """A rough kind of content: table (many cell marks), noise (many signs), brief (few characters), else prose."""
-    plain = F.coalesce(text, F.lit(""))
-    size = F.length(plain)
-    return (
-        F.when(size - F.length(F.translate(plain, "|", "")) >= 0.02 * size + 1, "table")
-        .when(size - F.length(F.translate(plain, "#$%&*!@+=<>{}[]^~", "")) >= 0.05 * size + 1, "noise")
-        .when(size < 400, "brief")
-        .otherwise("prose")
-    )
+@F.arrow_udf(T.StructType([T.StructField("words", T.LongType()), T.StructField("topic", T.StringType())]))
+def measured(text: pa.Array) -> pa.Array:
+    """Words (runs without ASCII white space) and a rough kind of content of each text: table (a cell mark in fifty
+    characters), noise (a sign in twenty), brief (under 400 characters), else prose."""
+    raw, offsets = utf8(text)
+    counts, kinds = [], []
+    for lo, hi in slices(offsets):
+        part, at = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+
+        def number(table: np.ndarray, part: np.ndarray = part, at: np.ndarray = at) -> np.ndarray:
+            total = np.concatenate([np.zeros(1, np.int64), np.cumsum(table[part], dtype=np.int64)])
+            return total[at[1:]] - total[at[:-1]]
+
+        size = number(_BEGINS)
+        kind = np.where(size < 400, 1, 0)
+        kind = np.where(20 * number(_SIGNS) >= size + 20, 2, kind)
+        kinds.append(np.where(50 * number(_CELLS) >= size + 50, 3, kind))
+        counts.append(np.diff(word_spans(part, at, NONSPACE)[2]))
+    n = np.concatenate([np.zeros(0, np.int64), *counts])
+    topic = pa.DictionaryArray.from_arrays(pa.array(np.concatenate([np.zeros(0, np.int64), *kinds]).astype(np.int32)), pa.array(KINDS)).cast(pa.string())
+    return pa.StructArray.from_arrays([pa.array(n, pa.int64()), topic], ["words", "topic"])
 
 
 def shares(tokens: pd.Series, target: Mapping[str, float]) -> pd.Series:
@@ -140,19 +157,19 @@ def probabilities(tokens: np.ndarray, weight: np.ndarray, keep: float) -> np.nda
     return p
 
 
-def mixture(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, keep: float = KEEP, seed: int = SEED, cells_bound: int = CELLS) -> DataFrame:
+def mixture(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, keep: float = KEEP, seed: int = SEED, cells_bound: int = CELLS, rounds: int = ROUNDS) -> DataFrame:
     """``docs(doc_id, text, lang, source, ...)`` with ``topic, n_words, weight, p_keep, kept``; all columns and rows stay.
 
     ``weight`` is the raked weight of the document's cell, ``p_keep`` its calibrated probability, ``kept`` the draw.
     """
     spark = docs.sparkSession
     level = {m: f"__mix_{m}" for m in MARGINS}
-    marked = docs.withColumns(
+    marked = docs.withColumn("__mix", measured("text")).withColumns(
         {
             level["source"]: F.coalesce("source", F.lit("unknown")),
             level["lang"]: F.coalesce("lang", F.lit("unknown")),
-            level["topic"]: topic(F.col("text")),
-            "__mix_words": words(F.col("text")),
+            level["topic"]: F.col("__mix.topic"),
+            "__mix_words": F.col("__mix.words"),
             "__mix_draw": F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", F.coalesce("text", F.lit(""))), 11) / float(1 << 53),
         }
     )
@@ -161,13 +178,13 @@ def mixture(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGET
     cells = work.keep(cells, "counts")
     if cells.limit(cells_bound + 1).count() <= cells_bound:
         table = cells.orderBy(*MARGINS).toPandas()
-        table["weight"] = rake(table, targets) if len(table) else np.zeros(0)
+        table["weight"] = rake(table, targets, rounds) if len(table) else np.zeros(0)
         table["p_keep"] = probabilities(table["tokens"].to_numpy(float), table["weight"].to_numpy(float), keep) if len(table) else np.zeros(0)
         schema = "source string, lang string, topic string, weight double, p_keep double"
         plan = spark.createDataFrame(table[[*MARGINS, "weight", "p_keep"]].values.tolist(), schema)
         plan = F.broadcast(plan)  # cells_bound rows at most
     else:
-        plan = _calibrated(rake_distributed(cells, targets, work), keep)
+        plan = _calibrated(rake_distributed(cells, targets, work, rounds), keep)
     plan = plan.withColumnsRenamed({m: f"__mix_cell_{m}" for m in MARGINS})
     on = [F.col(level[m]) == F.col(f"__mix_cell_{m}") for m in MARGINS]
     plan = plan.withColumnsRenamed({"weight": "__mix_weight", "p_keep": "__mix_p"})
