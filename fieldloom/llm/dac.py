@@ -52,7 +52,7 @@ def encode_shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> b
         bitmap = np.zeros(blocks * BLOCK // 8, np.uint8)
         packed = np.packbits(more, bitorder="little")
         bitmap[: len(packed)] = packed
-        directory = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BITS[bitmap].reshape(blocks, -1).sum(1, dtype=np.uint64), dtype=np.uint64)])
+        directory = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BITS[bitmap].reshape(blocks, BLOCK // 8).sum(1, dtype=np.uint64), dtype=np.uint64)])
         parts += [np.uint64(len(rest)).tobytes(), bitmap.tobytes(), directory.tobytes(), (rest & 0xFF).astype(np.uint8).tobytes()]
         if not more.any():
             break

@@ -95,8 +95,7 @@ def scan(html: str) -> Page:
         linked = 0
 
     def pop_to(k: int) -> None:
-        flush_needed = any(t in BLOCK for t, *_ in stack[k:])
-        if flush_needed:
+        if any(t in BLOCK for t, *_ in stack[k:]) or (k < len(stack) and stack[-1][1] != (k > 0 and stack[k - 1][1])):
             flush()
         if any(t == "figure" for t, *_ in stack[k:]):
             figure.clear()
@@ -149,6 +148,8 @@ def scan(html: str) -> Page:
         _, boiler, article = top()
         # a header outside the article is the site's; inside it, it holds the title
         boiler = boiler or _is_boiler(tag, found) or (tag == "header" and not article)
+        if boiler != top()[1]:
+            flush()  # an inline advert parts the text around it
         stack.append((tag, boiler, article or tag in ("article", "main") or found.get("role") == "main" or found.get("itemprop") == "articleBody"))
     flush()
     return page

@@ -80,6 +80,11 @@ class Plan:
     def blocks(self, c: int) -> tuple[int, int]:
         """Column blocks of class c, and how many of them may be empty in a set that sends no empty one."""
         k, size, spare = self.difference(c), self.bound(c), 0
+        if k > 2_000:  # the number of empty blocks is close to normal
+            for _ in range(4):
+                mean = (k + 1 + spare) * math.exp(-size / (k + 1 + spare))
+                spare = math.ceil(mean + 5 * math.sqrt(mean) + 3)
+            return k + 1 + spare, spare
         while spare < k + 12:
             p = k + 1 + spare
             mean = p * math.exp(-size / p)
