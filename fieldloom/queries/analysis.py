@@ -60,9 +60,9 @@ def centered_running_mean(spark, sf):
     return rounded(A.running_mean(A.daily_grid(_daily(spark, sf), ["k"], "day", "v"), ["k"], "day", "v"), 9)
 
 
-@query(f"with {_GRID} select k, round(var_samp(v), 9) as variance, round(var_samp(slow), 9) as slow_variance, round(var_samp(v - slow), 9) as fast_variance, count(v) as n from s group by 1")
+@query(f"with {_GRID} select k, round(var_samp(v), 6) as variance, round(var_samp(slow), 6) as slow_variance, round(var_samp(v - slow), 6) as fast_variance, count(v) as n from s group by 1")
 def variance_split(spark, sf):
-    return rounded(A.variance_split(A.running_mean(A.daily_grid(_daily(spark, sf), ["k"], "day", "v"), ["k"], "day", "v"), ["k"], "v"), 9)
+    return rounded(A.variance_split(A.running_mean(A.daily_grid(_daily(spark, sf), ["k"], "day", "v"), ["k"], "day", "v"), ["k"], "v"), 6)
 
 
 @query(f"""with d as ({_DAILY}), l as (select unnest([1, 2, 5, 10, 30])::int as lag)
