@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.shared import Workspace
+from fieldloom.llm.text_kernel import relieved
 
 EVENT_SCHEMA = "conv_id long, turn long, place int, role string, kind string, call_id string, name string, needs array<string>, errors array<string>, json string"
 #: Calls with several dependencies that are followed on one way; one with more before it counts as unordered.
@@ -140,7 +141,7 @@ def events(messages: DataFrame, schemas: Mapping[str, Mapping] = SCHEMAS) -> Dat
             columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    return messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").mapInArrow(run, EVENT_SCHEMA)
+    return messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").mapInArrow(relieved(run), EVENT_SCHEMA)
 
 
 def as_tool_turns(conversations: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.shared import Workspace
-from fieldloom.llm.text_kernel import slices, utf8
+from fieldloom.llm.text_kernel import relieved, slices, utf8
 from fieldloom.llm.vocab import BATCH_BYTES, ChunkCache, default_path, load, segment_sums
 
 FORMAT = b"DACSHRD1"
@@ -162,7 +162,7 @@ def write_shards(docs: DataFrame, path: str | None = None, end: int = END, shard
             yield close()
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, SHARD_SCHEMA)
+    return ordered.mapInArrow(relieved(run), SHARD_SCHEMA)
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
     within = before.partitionBy("part").orderBy("shard")
     starts = shards.select("part", "shard", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("shard_start"))
     starts = starts.join(parts, "part").select("part", "shard", (F.col("part_start") + F.col("shard_start")).alias("shard_start"))
-    found = shards.select("part", "shard", "payload").mapInArrow(run, DOC_SCHEMA)
+    found = shards.select("part", "shard", "payload").mapInArrow(relieved(run), DOC_SCHEMA)
     return found.join(starts, ["part", "shard"]).select("doc_id", (F.col("shard_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from fieldloom.llm.html_blocks import Block, scan
+from fieldloom.llm.text_kernel import relieved
 
 WINDOW = 3
 SURGE = 60
@@ -67,4 +68,4 @@ def main_text(pages: DataFrame) -> DataFrame:
                 ["page_id", "url", "text", "n_chars", "n_lines", "surge", "dive"],
             )
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, SCHEMA)
+    return pages.select("page_id", "url", "html").mapInArrow(relieved(run), SCHEMA)

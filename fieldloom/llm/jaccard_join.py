@@ -36,11 +36,11 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.components import components
 from fieldloom.llm.shared import Workspace
-from fieldloom.llm.text_kernel import NONSPACE, mix, ngram_hashes, signed, slices, utf8, word_hashes, word_spans
+from fieldloom.llm.text_kernel import NONSPACE, mix, ngram_hashes, relieved, signed, slices, utf8, word_hashes, word_spans
 
 U = np.uint64
 #: Block signatures that a task gathers before it joins equal ones and sends the rest.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 TILE = 512
 #: Bits of the fixed-size filter that tells which sets are wanted; false positives only cost time.
 FILTER_BITS = 1 << 23
@@ -251,8 +251,8 @@ def _members(docs: DataFrame, plan: Plan, buckets: int) -> DataFrame:
         if shared.any():
             yield _member_rows(signed(sig[shared]), key[shared], leader[shared])
 
-    packed = docs.select("text").mapInArrow(send, PACK_SCHEMA)
-    return packed.repartition(buckets, "bucket").mapInArrow(meet, MEMBER_SCHEMA)
+    packed = docs.select("text").mapInArrow(relieved(send), PACK_SCHEMA)
+    return packed.repartition(buckets, "bucket").mapInArrow(relieved(meet), MEMBER_SCHEMA)
 
 
 def _member_rows(sig: np.ndarray, key: np.ndarray, leader: np.ndarray) -> pa.RecordBatch:
@@ -270,7 +270,7 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
                 keys.append(set_key(grams) if len(grams) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], ["doc_id", "n_shingles", "key"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key long")
+    return docs.select("doc_id", "text").mapInArrow(relieved(run), "doc_id long, n_shingles long, key long")
 
 
 def _wanted(keys: DataFrame) -> np.ndarray:
@@ -305,7 +305,7 @@ def _sets(docs: DataFrame, n: int, keys: DataFrame) -> DataFrame:
                 columns.append(np.minimum(np.bincount((grams & U(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(columns, pa.binary())], ["key", "grams", "size", "columns"])
 
-    found = docs.select("text").mapInArrow(run, "key long, grams binary, size long, columns binary")
+    found = docs.select("text").mapInArrow(relieved(run), "key long, grams binary, size long, columns binary")
     return found.join(keys, "key", "left_semi").dropDuplicates(["key"])
 
 
@@ -340,7 +340,7 @@ def _multiply(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     own = sets.select("key", "grams")
     right = pairs.join(own.withColumnsRenamed({"key": "b", "grams": "right"}), "b")
     both = right.join(own.withColumnsRenamed({"key": "a", "grams": "left"}), "a")
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long, linked boolean")
+    return both.select("a", "b", "left", "right").mapInArrow(relieved(run), "a long, b long, linked boolean")
 
 
 def _across(cells: DataFrame, plan: Plan) -> DataFrame:
@@ -382,7 +382,7 @@ def _across(cells: DataFrame, plan: Plan) -> DataFrame:
         yield from pairs()
 
     dealt = cells.select("sig", "lo", "hi", "key", "root", "tile", "size", "columns", "blocks").repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(relieved(run), "a long, b long").distinct()
 
 
 def _rooted(frame: DataFrame, column: str, roots: DataFrame, name: str) -> DataFrame:

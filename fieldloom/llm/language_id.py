@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.llm.text_kernel import relieved, slices, utf8
+
 #: Bounds of the sample that the classifier is fitted on: labelled rows a language, characters of each, symbols a language.
 SAMPLE_ROWS = 150
 SAMPLE_CHARS = 1_500
@@ -33,7 +35,7 @@ LANGUAGES = 200
 LETTERS = 200
 SEGMENT = 512
 #: Characters that are parsed at a time.
-BATCH_CHARS = 6_000_000
+BATCH_CHARS = 2_000_000
 UNKNOWN = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -197,7 +199,7 @@ def training_samples(docs: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, ch
     return {lang: " ".join(normalise(t) for _, t in sorted(x)[:rows])[:SAMPLE_SYMBOLS] for lang, x in found.items()}
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _classifier(samples: tuple[tuple[str, str], ...]) -> Classifier:
     return Classifier(dict(samples))
 
@@ -212,19 +214,16 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
             names, scores = predict_column(model, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text").mapInArrow(relieved(run), SCHEMA)
 
 
 def predict_column(model: Classifier, column: pa.Array) -> tuple[list[str], list[float]]:
-    names, scores, lo, size = [], [], 0, 0
-    texts = [x or "" for x in column.to_pylist()]
-    for k, x in enumerate(texts):
-        size += len(x)
-        if size >= BATCH_CHARS or k == len(texts) - 1:
-            a, b = model.predict(texts[lo : k + 1])
-            names += a
-            scores += b
-            lo, size = k + 1, 0
+    """Predictions of a column, in ranges of rows of about ``BATCH_CHARS`` bytes."""
+    names, scores = [], []
+    for lo, hi in slices(utf8(column)[1], BATCH_CHARS):
+        a, b = model.predict([x or "" for x in column.slice(lo, hi - lo).to_pylist()])
+        names += a
+        scores += b
     return names, scores
 
 

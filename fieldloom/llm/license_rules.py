@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fieldloom.llm.text_kernel import ALNUM, LOWER, slices, utf8, word_spans
+from fieldloom.llm.text_kernel import ALNUM, LOWER, relieved, slices, utf8, word_spans
 
 #: Phrases whose every place counts, with their labels (fixed values).
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -229,4 +229,4 @@ def license_scan(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(relieved(run), SCHEMA)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.html_blocks import scan
 from fieldloom.llm.shared import Workspace
-from fieldloom.llm.text_kernel import utf8
+from fieldloom.llm.text_kernel import relieved, utf8
 
 UNIT = 576
 PAD = 255
@@ -122,7 +122,7 @@ def sequences(documents: DataFrame, key: str, html: str) -> DataFrame:
             columns = [pa.array([y[n] for x in found for y in x], pa.int32() if n == "position" else pa.string()) for n in names]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(row), *columns], [key, *names])
 
-    return documents.select(key, html).mapInArrow(run, f"`{key}` {kind}, {ITEM}")
+    return documents.select(key, html).mapInArrow(relieved(run), f"`{key}` {kind}, {ITEM}")
 
 
 def stored_features(store: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def stored_features(store: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     # tasks may have stored one digest each; their rows agree
-    return store.select("digest", "media").mapInArrow(run, STORE_SCHEMA).dropDuplicates(["digest"])
+    return store.select("digest", "media").mapInArrow(relieved(run), STORE_SCHEMA).dropDuplicates(["digest"])
 
 
 def resolve(items: DataFrame, store: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def _documents(docs: DataFrame) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, html string, digest string, media binary")
+    return docs.select("doc_id", "text").mapInArrow(relieved(run), "doc_id long, n_bytes long, html string, digest string, media binary")
 
 
 def text_media(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fieldloom.llm.text_kernel import slices, utf8
+from fieldloom.llm.text_kernel import relieved, slices, utf8
 from fieldloom.llm.vocab import BATCH_BYTES, ChunkCache, default_path, load, segment_sums
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -136,4 +136,4 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
                 [batch.column(0).cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(tokens), pa.array(tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(relieved(run), SCHEMA)

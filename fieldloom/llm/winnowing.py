@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.shared import Workspace
-from fieldloom.llm.text_kernel import ALNUM, mix, ngram_hashes, signed, slices, utf8, word_hashes, word_spans
+from fieldloom.llm.text_kernel import ALNUM, mix, ngram_hashes, relieved, signed, slices, utf8, word_hashes, word_spans
 
 SPAN = 10
 GRAM = 6
@@ -87,7 +87,7 @@ def benchmark_windows(items: DataFrame, span: int = SPAN, gram: int = GRAM) -> D
                 columns = list(zip(*rows, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["item_id", "length", "window", "print"])
 
-    return items.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(run, WINDOW_SCHEMA).distinct()
+    return items.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(relieved(run), WINDOW_SCHEMA).distinct()
 
 
 @dataclass
@@ -199,7 +199,7 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
         for batch in batches:
             yield _report(batch, held.value)
 
-    return docs.select("doc_id", "text").mapInArrow(run, DOC_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(relieved(run), DOC_SCHEMA)
 
 
 def _by_join(docs: DataFrame, windows: DataFrame, span: int, gram: int) -> DataFrame:
@@ -237,14 +237,14 @@ def _by_join(docs: DataFrame, windows: DataFrame, span: int, gram: int) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), pa.array(n, pa.int64())], ["row", "doc_id", "n_words"])
 
     numbered = Workspace(docs.sparkSession, "winnowing").keep(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "docs")
-    found = numbered.select("row", "text").mapInArrow(candidates, "row long, at long, length int, window long, print long")
+    found = numbered.select("row", "text").mapInArrow(relieved(candidates), "row long, at long, length int, window long, print long")
     # the fingerprint join first: both sides carry it, and a row that fails it never meets a window
     met = found.join(windows.select("length", "print").distinct(), ["length", "print"], "left_semi").select("row", "at", "length", "window").distinct()
     met = met.join(windows.select("item_id", "length", "window"), ["length", "window"])
     hits = met.select("row", "item_id", F.explode(F.sequence("at", F.col("at") + F.col("length") - 1)).alias("word"))
     per = hits.groupBy("row").agg(F.countDistinct("word").alias("n_hit"), F.array_join(F.array_sort(F.collect_set("item_id")), ",").alias("names"), F.countDistinct("item_id").alias("n_items"))
     return (
-        numbered.mapInArrow(totals, "row long, doc_id long, n_words long")
+        numbered.mapInArrow(relieved(totals), "row long, doc_id long, n_words long")
         .join(per, "row", "left")
         .select(
             "doc_id",
