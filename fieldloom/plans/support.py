@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,9 +96,6 @@ class PositiveDefinite(Support):
     size: int = 1
 
     def holds(self, value: Column) -> Column:
-        import numpy as np
-        import pandas as pd
-
         size = self.size
 
         @F.pandas_udf("boolean")
