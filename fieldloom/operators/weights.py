@@ -15,7 +15,7 @@ def effective_sizes(rows: DataFrame, keys: Sequence[str], log_weight: str, log_r
     """
     lw, step = F.col(log_weight), F.col(log_ratio) * increment
     tops = rows.groupBy(*keys).agg(F.max(lw).alias("__a"), F.max(lw + step).alias("__b"), F.max(lw + 2 * step).alias("__c"))
-    held = rows.join(F.broadcast(tops), list(keys)) if keys else rows.crossJoin(F.broadcast(tops))
+    held = rows.join(tops, list(keys)) if keys else rows.crossJoin(F.broadcast(tops))  # one row without keys
 
     def lse(x: Column, top: str) -> Column:
         return F.first(top) + F.log(F.sum(F.exp(x - F.col(top))))

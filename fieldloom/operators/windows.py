@@ -128,7 +128,7 @@ def to_utc(field: DataFrame, offsets: DataFrame, on: Sequence[str], step: int, *
     """Local stamps moved to UTC by a fixed offset a key, which must be a whole number of steps."""
     shift = F.rint(F.col(offset_hours) * 3_600_000_000).cast("long")
     checked = F.when(F.pmod(shift, F.lit(step)) != 0, F.raise_error(F.lit("an offset isn't a whole number of steps"))).otherwise(shift)
-    return field.join(F.broadcast(offsets), list(on)).withColumn(time, stamp(micros(F.col(time)) - checked)).drop(offset_hours)
+    return field.join(offsets, list(on)).withColumn(time, stamp(micros(F.col(time)) - checked)).drop(offset_hours)
 
 
 def aggregate_run(outputs: DataFrame, keys: Sequence[str], freq: str, kinds: Mapping[str, str], *, time: str = "time") -> DataFrame:

@@ -127,3 +127,49 @@ def eki_linear(spark, sf):
     final = E.invert(g.standard_normal((400, 3)), lambda t: t @ a.T, y, noise)[-1]
     exact = np.linalg.solve(a.T @ a / 0.01 + np.eye(3), a.T @ y / 0.01)
     return spark.createDataFrame([(i, float(e), float(x)) for i, (e, x) in enumerate(zip(final.theta.mean(0), exact, strict=True))], "entry long, estimate double, exact double")
+
+
+@query("""with d as (select o_orderpriority as k, o_orderdate::date as day, avg(o_totalprice) / 100000 - 2.5 as r from orders where year(o_orderdate) = 1996 group by 1, 2),
+l as (select k, r, lag(r) over w as p, day - lag(day) over w as gap from d window w as (partition by k order by day)),
+s as (select k, case when p is null then r else r - exp(-gap / 20.0) * p end as e, case when p is null then 0.64 else 0.64 * (1 - exp(-2 * gap / 20.0)) end as v from l)
+select k, count(*) as n, round(sum(e * e / v) / 2, 6) as misfit, round(sum(ln(v)), 6) as log_det, round(-sum(e * e / v) / 2 - 0.5 * (sum(ln(v)) + count(*) * ln(2 * pi())), 6) as log_density from s group by 1""")
+def dense_block_density(spark, sf):
+    """Blocks with an exponential covariance, whose density is also a product of conditional normals."""
+    from fieldloom.operators.blocks import gaussian_blocks
+    from fieldloom.plans.covariance import Kernel, exponential
+
+    orders = table(spark, sf, "orders").where(F.year("o_orderdate") == 1996)
+    daily = orders.groupBy(F.col("o_orderpriority").alias("k"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1996-01-01").cast("date")).alias("day")).agg((F.avg("o_totalprice") / 100000 - 2.5).alias("r"))
+    return rounded(gaussian_blocks(daily, ["k"], ["day"], "r", Kernel("day", exponential(0.8, 20.0))))
+
+
+@query("""select l_suppkey, count(*) as n, round(median(10 + l_linenumber), 6) as median_sd, round(sum(1 / pow(10.0 + l_linenumber, 2)) * median(pow(10.0 + l_linenumber, 2)), 6) as effective_n, round(min(pow(10.0 + l_linenumber, 2)), 6) as least_eigenvalue
+from lineitem where l_suppkey < 10 group by 1""")
+def noise_summary(spark, sf):
+    from fieldloom.operators.blocks import noise_summary as summary
+    from fieldloom.plans.covariance import Diagonal
+
+    rows = table(spark, sf, "lineitem").where("l_suppkey < 10").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", (10.0 + F.col("l_linenumber")).alias("sd"))
+    return rounded(summary(rows, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey"], Diagonal("sd")))
+
+
+@query(None)
+def noisy_interval_coverage(spark, sf):
+    """Share of part sizes inside the 90 % interval of their line quantities with measurement noise added."""
+    from fieldloom.operators.blocks import noisy_coverage
+
+    predictions = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("site"), F.col("l_orderkey").alias("member"), F.col("l_quantity").alias("prediction"))
+    observed = table(spark, sf, "part").select(F.col("p_partkey").alias("site"), F.col("p_size").cast("double").alias("value"), F.lit(3.0).alias("standard_deviation"))
+    return rounded(noisy_coverage(predictions, observed, ["site"], 0.9, 5))
+
+
+@query(None)
+def covariance_fit(spark, sf):
+    """Deviation and time scale of an exponential covariance of greatest likelihood, by year."""
+    from fieldloom.operators.blocks import maximum_likelihood
+    from fieldloom.plans.covariance import Kernel, exponential
+
+    orders = table(spark, sf, "orders")
+    daily = orders.groupBy(F.year("o_orderdate").alias("year"), F.dayofyear("o_orderdate").alias("day")).agg((F.avg("o_totalprice") / 100000 - 2.5).alias("r"))
+    found, density = maximum_likelihood(daily.where("year < 1998").cache(), ["year"], ["day"], "r", lambda p: Kernel("day", exponential(p[0], p[1])), [1.0, 2.0], rounds=4)
+    return spark.createDataFrame([("sd", float(found[0])), ("scale", float(found[1])), ("log_density", density)], "quantity string, value double")

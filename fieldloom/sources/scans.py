@@ -82,10 +82,10 @@ def fullset(spark: SparkSession, root: str, estimates: Sequence[str], extra: Seq
     missing. Steps must be whole and follow each other without a gap, which ``operators.checks.gaps_in_stamps`` reports.
     """
     wanted = [*(c for e in estimates for c in (f"NEE_{e}", f"NEE_{e}_QC", f"NEE_{e}_RANDUNC", f"NEE_{e}_JOINTUNC")), *extra]
-    lines = spark.read.options(recursiveFileLookup=True, pathGlobFilter="AMF_*_FLUXNET_FULLSET_*.csv").text(root).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    lines = spark.read.options(recursiveFileLookup=True, pathGlobFilter="AMF_*_FLUXNET_FULLSET_*.csv").text(root).select(F.col("_metadata.file_path").alias("file"), "value")
     head = lines.where(F.col("value").startswith("TIMESTAMP_START")).select("file", F.split("value", ",").alias("header"))
     rows = lines.where(~F.col("value").startswith("TIMESTAMP_START") & (F.trim("value") != "")).select("file", F.split("value", ",").alias("cells"))
-    joined = rows.join(F.broadcast(head), "file")  # a row for each file
+    joined = rows.join(head, "file")
 
     def number(name: str) -> Column:
         place = F.array_position("header", name)
@@ -228,3 +228,48 @@ def pool_inputs(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType([T.StructField(n, t) for n, t in (("_c0", T.LongType()), ("Site.ID", T.StringType()), ("Latitude..degrees.", T.DoubleType()), ("Longitude..degrees.", T.DoubleType()), ("Elevation..m.", T.DoubleType()))])
     raw = spark.read.schema(schema).options(header=True, mode="FAILFAST", enforceSchema=True).csv(path)
     return raw.select(F.col("_c0").alias("position"), F.col("`Site.ID`").alias("tower"), F.col("`Latitude..degrees.`").alias("lat"), F.col("`Longitude..degrees.`").alias("lon"))
+
+
+def parse_points(shape: bytes, table: bytes, encoding: str) -> list[dict[str, object]]:
+    """Points of a shapefile with the attributes of its table, by the published layouts."""
+    import struct
+
+    if struct.unpack_from(">i", shape)[0] != 9994 or struct.unpack_from("<i", shape, 32)[0] != 1:
+        raise ValueError("not a shapefile of points")
+    points, at = [], 100
+    while at < len(shape):
+        words = struct.unpack_from(">i", shape, at + 4)[0]
+        kind = struct.unpack_from("<i", shape, at + 8)[0]
+        points.append(struct.unpack_from("<dd", shape, at + 12) if kind == 1 else (None, None))
+        at += 8 + 2 * words
+    n, head, size = struct.unpack_from("<IHH", table, 4)
+    fields, at = [], 32
+    while table[at] != 0x0D:
+        fields.append((table[at : at + 11].split(b"\0")[0].decode(encoding), chr(table[at + 11]), table[at + 16]))
+        at += 32
+    if n != len(points):
+        raise ValueError(f"{len(points)} points have {n} rows of attributes")
+    rows = []
+    for i, (x, y) in enumerate(points):
+        at, row = head + i * size + 1, {"x": x, "y": y}
+        for name, kind, width in fields:
+            text = table[at : at + width].decode(encoding).strip()
+            row[name] = (float(text) if kind in "NF" else text) if text else None
+            at += width
+        rows.append(row)
+    return rows
+
+
+def shapefile_points(spark: SparkSession, path: str, columns: Sequence[tuple[str, str]], encoding: str = "utf-8") -> DataFrame:
+    """``x, y`` and attributes of the points of one shapefile (its ``.shp`` and ``.dbf``), in their order."""
+    held = {r["path"].rsplit(".", 1)[1].lower(): bytes(r["content"]) for r in spark.read.format("binaryFile").load([f"{path}.shp", f"{path}.dbf"]).select("path", "content").collect()}
+    rows = [(i, r["x"], r["y"], *(r[c] for c, _ in columns)) for i, r in enumerate(parse_points(held["shp"], held["dbf"], encoding))]
+    return spark.createDataFrame(rows, ", ".join(["position int", "x double", "y double", *(f"`{c}` {t}" for c, t in columns)]))
+
+
+def driver_presence(found: DataFrame, sites: Sequence[int], members: Sequence[int]) -> DataFrame:
+    """Every pair of site and member with whether a file gives it."""
+    spark = found.sparkSession
+    wanted = spark.createDataFrame([(s, m) for s in sites for m in members], "site int, driver_member long")
+    held = found.select("site", "driver_member").distinct().withColumn("__held", F.lit(True))
+    return wanted.join(held, ["site", "driver_member"], "left").select("site", "driver_member", F.coalesce("__held", F.lit(False)).alias("driver_present"))

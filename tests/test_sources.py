@@ -126,3 +126,15 @@ def test_checked_write(spark, tmp_path):
     assert sinks.digests(spark, a, "*.parquet").count() >= 1
     sinks.provenance(spark, str(tmp_path / "p"), sinks.digests(spark, b, "*.parquet"), {"seed": 1})
     assert '"seed": 1' in "\n".join(r[0] for r in spark.read.text(str(tmp_path / "p")).collect())
+
+
+def test_shapefile_points(spark, tmp_path):
+    points = [(-90.5, 40.25), (10.0, -3.0)]
+    records = b"".join(struct.pack(">ii", i + 1, 10) + struct.pack("<idd", 1, *p) for i, p in enumerate(points))
+    (tmp_path / "s.shp").write_bytes(struct.pack(">i", 9994) + b"\0" * 20 + struct.pack(">i", (100 + len(records)) // 2) + struct.pack("<ii", 1000, 1) + b"\0" * 64 + records)
+    field = lambda n, k, w: n.encode().ljust(11, b"\0") + k.encode() + b"\0" * 4 + bytes([w, 0]) + b"\0" * 14
+    head = field("name", "C", 6) + field("rank", "N", 4) + b"\x0d"
+    body = b"".join(b" " + n.encode().ljust(6) + r.rjust(4).encode() for n, r in (("first", "7"), ("", "")))
+    (tmp_path / "s.dbf").write_bytes(b"\x03" + b"\0" * 3 + struct.pack("<IHH", 2, 32 + len(head), 11) + b"\0" * 20 + head + body)
+    rows = scans.shapefile_points(spark, str(tmp_path / "s"), [("name", "string"), ("rank", "double")]).orderBy("position").collect()
+    assert [tuple(r) for r in rows] == [(0, -90.5, 40.25, "first", 7.0), (1, 10.0, -3.0, None, None)]
