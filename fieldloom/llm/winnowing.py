@@ -30,8 +30,8 @@ from fieldloom.llm.text_kernel import ALNUM, mix, ngram_hashes, relieved, signed
 
 SPAN = 10
 GRAM = 6
-#: Benchmark windows (24 bytes each) that are sent to every task; beyond, fingerprints are joined by a shuffle.
-BROADCAST_WINDOWS = 1_000_000
+#: Benchmark windows (some 200 bytes each, with their items) that are sent to every task; beyond, fingerprints are joined.
+BROADCAST_WINDOWS = 200_000
 WINDOW_SCHEMA = "item_id string, length int, window long, print long"
 DOC_SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -190,10 +190,9 @@ def _report(batch: pa.RecordBatch, index: WindowIndex) -> pa.RecordBatch:
 def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """For each row of ``docs(doc_id, text)``: its words, those inside an item's window, and the items it holds."""
     windows = Workspace(docs.sparkSession, "winnowing").keep(benchmark_windows(items, span, gram), "windows")
-    rows = windows.limit(broadcast_windows + 1).collect()
-    if len(rows) > broadcast_windows:
+    if windows.count() > broadcast_windows:
         return _by_join(docs, windows, span, gram)
-    held = docs.sparkSession.sparkContext.broadcast(WindowIndex.of([tuple(r) for r in rows], span, gram))
+    held = docs.sparkSession.sparkContext.broadcast(WindowIndex.of([tuple(r) for r in windows.collect()], span, gram))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
