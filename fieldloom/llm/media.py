@@ -147,9 +147,12 @@ def stored_features(store: DataFrame) -> DataFrame:
     return store.select("digest", "media").mapInArrow(relieved(run), STORE_SCHEMA).dropDuplicates(["digest"])
 
 
-def resolve(items: DataFrame, store: DataFrame) -> DataFrame:
-    """``items`` with what ``store`` has of each reference's digest; text items and unknown digests get nulls."""
-    return items.join(stored_features(store), "digest", "left")
+def resolve(items: DataFrame, features: DataFrame) -> DataFrame:
+    """``items`` with ``features`` (a row a digest) of each reference; text items and unknown digests get nulls.
+
+    Features that were written before the join leave it free to split a digest that very many items refer to.
+    """
+    return items.join(features, "digest", "left")
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -192,6 +195,7 @@ def text_media(docs: DataFrame) -> DataFrame:
     entries = written.select(F.struct("doc_id", "n_bytes").alias("entry"), "html")
     items = sequences(entries, "entry", "html").where("kind = 'media'")
     store = written.where("media is not null").select("digest", "media")
-    return resolve(items, store).select(
+    features = work.keep(stored_features(store), "features")
+    return resolve(items, features).select(
         "entry.doc_id", "entry.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption"
     )

@@ -47,5 +47,5 @@ def test_sequences_and_digest_join(spark):
         (1, 0, "text", "one", None), (1, 1, "media", "", "cap"), (1, 2, "text", "two", None), (1, 3, "media", "", "")
     ]
     store = spark.createDataFrame([(name, bytearray(image))] * 2, "digest string, media binary")
-    found = {r["position"]: r["payload_bytes"] for r in M.resolve(items, store).collect()}
+    found = {r["position"]: r["payload_bytes"] for r in M.resolve(items, M.stored_features(store)).collect()}
     assert found == {0: None, 1: 576, 2: None, 3: None}
