@@ -252,7 +252,7 @@ def _members(docs: DataFrame, plan: Plan, buckets: int) -> DataFrame:
             yield _member_rows(signed(sig[shared]), key[shared], leader[shared])
 
     packed = docs.select("text").mapInArrow(relieved(send), PACK_SCHEMA)
-    return packed.repartition(buckets, "bucket").mapInArrow(relieved(meet), MEMBER_SCHEMA)
+    return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(relieved(meet), MEMBER_SCHEMA)
 
 
 def _member_rows(sig: np.ndarray, key: np.ndarray, leader: np.ndarray) -> pa.RecordBatch:
