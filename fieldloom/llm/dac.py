@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.shared import Workspace
 from fieldloom.llm.text_kernel import relieved, slices, utf8
-from fieldloom.llm.vocab import BATCH_BYTES, ChunkCache, default_path, load, segment_sums
+from fieldloom.llm.vocab import BATCH_BYTES, ChunkCache, byte_alphabet, default_path, load, one_word, segment_sums
 
 FORMAT = b"DACSHRD1"
 BLOCK = 512
@@ -109,11 +109,16 @@ class Shard:
 @lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkCache:
     tokenizer = load(path)
+    model, alphabet = tokenizer.model, str.maketrans(dict(enumerate(byte_alphabet())))
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already
 
     def encode(chunks: list[bytes]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast([x.decode() for x in chunks], add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
+        # a word is one piece of the pattern, which the tokenizer's model takes as it is; the rest goes the whole way
+        out = [array("I", [t.id for t in model.tokenize(x.decode("latin-1").translate(alphabet))]).tobytes() if one_word(x) else None for x in chunks]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, found in zip(rest, tokenizer.encode_batch_fast([chunks[i].decode() for i in rest], add_special_tokens=False), strict=True):
+            out[i] = array("I", found.ids).tobytes()
+        return out
 
     return ChunkCache(path, encode, lambda i: np.array([i], "<u4").tobytes())
 

@@ -11,7 +11,6 @@ Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows re
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from fieldloom.llm.text_kernel import relieved, slices, utf8
-from fieldloom.llm.vocab import BATCH_BYTES, ChunkCache, default_path, load, segment_sums
+from fieldloom.llm.vocab import BATCH_BYTES, ChunkCache, byte_alphabet, default_path, load, one_word, segment_sums
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
@@ -28,17 +27,6 @@ SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 _NEVER = np.int64(1) << 40
 
 
-#: A chunk that is one pre-token.
-_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
-
-
-def byte_alphabet() -> list[str]:
-    """The character that stands for each byte: itself where it is printable in Latin-1, else the next one from 256 on."""
-    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    other = iter(range(0x100, 0x200))
-    return [chr(b if b in plain else next(other)) for b in range(256)]
-
-
 class Merger:
     """The merge table of a byte-level BPE vocabulary as sorted arrays."""
 
@@ -100,7 +88,7 @@ class Merger:
 
     def counts(self, chunks: list[bytes]) -> list[int]:
         """Tokens of each chunk."""
-        split = [(x,) if _WORD(x) else tuple(bytes(map(self.byte.__getitem__, s)) for s, _ in self.pre.pre_tokenize_str(x.decode())) for x in chunks]
+        split = [(x,) if one_word(x) else tuple(bytes(map(self.byte.__getitem__, s)) for s, _ in self.pre.pre_tokenize_str(x.decode())) for x in chunks]
         words = list(dict.fromkeys(w for x in split for w in x))
         if not words:
             return [0] * len(chunks)

@@ -8,6 +8,7 @@ result is the library's. Added special tokens are cut out first, as the library
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -29,6 +30,17 @@ _KIND[ord("0") : ord("9") + 1] = 2
 _TIMES, _OVER = 0x97, 0xB7  # second bytes of the two signs among the Latin-1 letters
 
 
+#: Whether a chunk is one word, and so one piece of the tokenizer's pattern.
+one_word = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+
+
+def byte_alphabet() -> list[str]:
+    """The character that stands for each byte: itself where it is printable in Latin-1, else the next one from 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = iter(range(0x100, 0x200))
+    return [chr(b if b in plain else next(other)) for b in range(256)]
+
+
 def default_path(name: str) -> str:
     import public_tokenizers
 

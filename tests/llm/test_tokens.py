@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from fieldloom.llm import dac, token_counts
 from fieldloom.llm.text_kernel import utf8
-from fieldloom.llm.vocab import default_path, load
+from fieldloom.llm.vocab import byte_alphabet, default_path, load
 
 from .helpers import ODD, documents, wide
 
@@ -34,7 +34,7 @@ def test_merges_of_runs():
     m = token_counts.Merger(PATH)
     words = [b"a" * n for n in range(1, 40)] + [b" " * n for n in range(1, 20)] + [b"0" * 33]
     left = m.survivors(m.symbol[np.frombuffer(b"".join(words), np.uint8)], np.array([len(w) for w in words]))
-    assert left.tolist() == [len(load(PATH).model.tokenize("".join(token_counts.byte_alphabet()[b] for b in w))) for w in words]
+    assert left.tolist() == [len(load(PATH).model.tokenize("".join(byte_alphabet()[b] for b in w))) for w in words]
 
 
 def test_token_count_query(spark):
