@@ -12,8 +12,8 @@ without one n-gram instead. Rows meet only in equal blocks, so n-grams that are
 *Which pairs are multiplied.* The members of an equal block are first paired with the block's least row only. Overlaps
 of these pairs are accumulated over column blocks and a pair is discarded as soon as its size-derived bound can't be
 reached. Linked rows form components. A block whose members are then still in several components is multiplied in tiles,
-across components, where a histogram bound (the L1 distance of column counts is at most the difference) discards pairs
-before the exact product. All pairs that could link two components are thus multiplied, and no others.
+across components. Everywhere a histogram bound (the L1 distance of column counts is at most the difference) discards
+pairs before the exact product. All pairs that could link two components are thus multiplied, and no others.
 
 *Skew.* Each task joins the equal blocks that it holds to stars before the shuffle, so a block sends one row a task;
 tiles hold at most ``TILE`` rows each. Nothing is capped.
@@ -260,17 +260,30 @@ def _member_rows(sig: np.ndarray, key: np.ndarray, leader: np.ndarray) -> pa.Rec
 
 
 def _profile(docs: DataFrame, n: int) -> DataFrame:
-    """``doc_id, n_shingles, key`` of each row; the key is null for the empty set."""
+    """``doc_id, n_shingles, key, columns`` of each row; the key is null for the empty set.
+
+    ``columns`` counts the n-grams of each of ``BINS`` columns, once a task for each set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, columns = [], [], []
             for grams in ngram_sets(batch.column(1), n):
+                key = set_key(grams) if len(grams) else None
                 sizes.append(len(grams))
-                keys.append(set_key(grams) if len(grams) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], ["doc_id", "n_shingles", "key"])
+                keys.append(key)
+                columns.append(None if key is None or key in seen else column_counts(grams))
+                seen.add(key)
+            if len(seen) > FLUSH:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(columns, pa.binary())], ["doc_id", "n_shingles", "key", "columns"])
 
-    return docs.select("doc_id", "text").mapInArrow(relieved(run), "doc_id long, n_shingles long, key long")
+    return docs.select("doc_id", "text").mapInArrow(relieved(run), "doc_id long, n_shingles long, key long, columns binary")
+
+
+def column_counts(grams: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((grams & U(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
 def _wanted(keys: DataFrame) -> np.ndarray:
@@ -284,13 +297,13 @@ def _wanted(keys: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, n: int, keys: DataFrame) -> DataFrame:
-    """``key, grams, size, columns``: the sets that ``keys`` names (and a few more), each once a task, with column counts."""
+    """``key, grams``: the sets that ``keys`` names, each once."""
     wanted = docs.sparkSession.sparkContext.broadcast(_wanted(keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, seen = wanted.value, set()
         for batch in batches:
-            keys, sets, sizes, columns = [], [], [], []
+            keys, sets = [], []
             for grams in ngram_sets(batch.column(0), n):
                 if not len(grams):
                     continue
@@ -301,14 +314,37 @@ def _sets(docs: DataFrame, n: int, keys: DataFrame) -> DataFrame:
                 seen.add(key)
                 keys.append(key)
                 sets.append(grams.tobytes())
-                sizes.append(len(grams))
-                columns.append(np.minimum(np.bincount((grams & U(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(columns, pa.binary())], ["key", "grams", "size", "columns"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["key", "grams"])
 
-    found = docs.select("text").mapInArrow(relieved(run), "key long, grams binary, size long, columns binary")
+    found = docs.select("text").mapInArrow(relieved(run), "key long, grams binary")
     return found.join(keys, "key", "left_semi").dropDuplicates(["key"])
 
 
+def _possible(pairs: DataFrame, outlines: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs ``a, b`` whose sizes and column counts allow a link; other columns of ``pairs`` stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for k in (0, 2))
+            s, t = (batch.column(k).to_numpy() for k in (1, 3))
+            ok = _allowed(left, right, s, t, plan)
+            yield pa.RecordBatch.from_arrays([x.filter(pa.array(ok)) for x in batch.columns[4:]], batch.schema.names[4:])
+
+    kept = pairs.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
+    near = pairs.join(outlines.select(F.col("key").alias("b"), F.col("columns").alias("__cb"), F.col("n_shingles").alias("__nb")), "b")
+    near = near.join(outlines.select(F.col("key").alias("a"), F.col("columns").alias("__ca"), F.col("n_shingles").alias("__na")), "a")
+    return near.select("__ca", "__na", "__cb", "__nb", *kept).mapInArrow(relieved(run), schema)
+
+
+def _allowed(left: np.ndarray, right: np.ndarray, s: np.ndarray, t: np.ndarray, plan: Plan) -> np.ndarray:
+    """Whether column counts differ by no more than a link allows; their L1 distance is at most the sets' difference."""
+    total = s + t
+    return np.abs(left - right).sum(1) <= total - 2 * -(-plan.num * total // (plan.num + plan.den))
+
+
 def overlap(a: np.ndarray, b: np.ndarray, need: int, blocks: int = 4) -> int:
     """N-grams that two sorted sets share, accumulated over column blocks; -1 once ``need`` is out of reach."""
     edges = np.arange(1, blocks, dtype=np.float64) / blocks * 2.0**64
@@ -344,44 +380,36 @@ def _multiply(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _across(cells: DataFrame, plan: Plan) -> DataFrame:
-    """``a, b`` of the rows of a tile that are in different components and whose bounds allow a link.
-
-    A pair that shares several mixed blocks is given by the least of them alone, which each row's ``blocks`` tell.
-    """
+    """``a, b`` of the rows of a tile that are in different components and whose bounds allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: tuple | None = None
-        held: list[tuple[int, int, int, bool, bytes, np.ndarray]] = []
+        held: list[tuple[int, int, int, bool, bytes]] = []
 
         def pairs() -> Iterator[pa.RecordBatch]:
             if len(held) < 2 or (group[1] != group[2] and len({x[3] for x in held}) == 1):
                 return
             key, root, size, side = (np.array([x[k] for x in held]) for k in range(4))
-            counts = np.stack([np.frombuffer(x[4], np.uint8) for x in held]).astype(np.int16)
+            counts = np.frombuffer(b"".join(x[4] for x in held), np.uint8).reshape(-1, BINS).astype(np.int16)
             left, right = (np.flatnonzero(side), np.flatnonzero(~side)) if group[1] != group[2] else (np.arange(len(held)),) * 2
-            found: list[tuple[int, int]] = []
             for i in left.tolist():
-                total = size[i] + size[right]
-                bound = total - 2 * -(-plan.num * total // (plan.num + plan.den))
-                ok = (root[right] != root[i]) & (np.abs(counts[right] - counts[i]).sum(1) <= bound)
-                for j in right[ok].tolist():
-                    if (key[i] < key[j] or side[i] != side[j]) and np.intersect1d(held[i][5], held[j][5], assume_unique=True)[0] == group[0]:
-                        found.append((min(key[i], key[j]), max(key[i], key[j])))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+                ok = (root[right] != root[i]) & _allowed(counts[right], counts[i], size[right], size[i], plan)
+                other = key[right[ok]]
+                if group[1] == group[2]:
+                    other = other[other > key[i]]
+                if len(other):
+                    own = np.full(len(other), key[i])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own, other)), pa.array(np.maximum(own, other))], ["a", "b"])
 
         for batch in batches:
-            sig, lo, hi, key, root, tile, size, columns = (c.to_pylist() for c in batch.columns[:8])
-            blocks, at = batch.column(8).flatten().to_numpy(), batch.column(8).offsets.to_numpy()
-            at = at - at[0]
-            for k in range(batch.num_rows):
-                if (sig[k], lo[k], hi[k]) != group:
+            for lead, lo, hi, key, root, tile, size, columns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (lead, lo, hi) != group:
                     yield from pairs()
-                    group, held = (sig[k], lo[k], hi[k]), []
-                held.append((key[k], root[k], size[k], tile[k] == lo[k], columns[k], blocks[at[k] : at[k + 1]]))
+                    group, held = (lead, lo, hi), []
+                held.append((key, root, size, tile == lo, columns))
         yield from pairs()
 
-    dealt = cells.select("sig", "lo", "hi", "key", "root", "tile", "size", "columns", "blocks").repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
+    dealt = cells.select("lead", "lo", "hi", "key", "root", "tile", "n_shingles", "columns").repartition("lead", "lo", "hi").sortWithinPartitions("lead", "lo", "hi")
     return dealt.mapInArrow(relieved(run), "a long, b long").distinct()
 
 
@@ -400,39 +428,52 @@ def classes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     work, plan = Workspace(spark, "jaccard"), Plan(n, num, den)
     buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
     profile = work.keep(_profile(docs, n), "profile")
+    outlines = profile.where("columns is not null").select("key", "n_shingles", "columns")
     members = work.keep(_members(docs, plan, buckets), "members")
-    stars = work.keep(members.where("key <> leader").groupBy(F.col("leader").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("blocks")), "stars")
-    sets = work.keep(_sets(docs, n, stars.select(F.col("a").alias("key")).union(stars.select("b")).distinct()), "sets")
+    stars = members.where("key <> leader").groupBy(F.col("leader").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("blocks"))
+    stars = work.keep(stars, "stars")
+    outlines = outlines.join(stars.select(F.col("a").alias("key")).union(stars.select("b")).distinct(), "key", "left_semi").dropDuplicates(["key"])
+    outlines = work.keep(outlines, "outlines")
+    possible = work.keep(_possible(stars, outlines, plan), "possible")
+    sets = work.keep(_sets(docs, n, _keys(possible)), "sets")
 
     # each row with the leader it shares most blocks with, then the other leaders that this hasn't joined
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("blocks", "a")).alias("a"))
+    best = possible.groupBy("b").agg(F.max_by("a", F.struct("blocks", "a")).alias("a"))
     first = work.keep(_multiply(best, sets, plan), "first")
     roots = components(first.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")), work, "joined-first")
-    left = stars.join(first.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
+    left = possible.join(first.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
     left = _rooted(_rooted(left, "a", roots, "root_a"), "b", roots, "root_b").where("root_a <> root_b").select("a", "b")
     second = work.keep(_multiply(left, sets, plan), "second")
+    work.drop("sets")
     done = first.union(second)
     roots = components(done.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")), work, "joined-second")
 
-    # blocks whose members are still in several components; of two members the pair has been multiplied
-    rooted = _rooted(members.select("sig", "key").distinct(), "key", roots, "root")
-    mixed = rooted.groupBy("sig").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high and size > 2")
-    mixed = mixed.select("sig", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
-    rows = work.keep(rooted.join(mixed, "sig"), "mixed")
-    blocks = rows.groupBy("key").agg(F.sort_array(F.collect_list("sig")).alias("blocks"))  # at most a set's column blocks
-    cells = rows.withColumn("tile", F.pmod(F.hash("key"), "tiles")).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-    cells = cells.select("sig", "key", "root", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
-    pairs = _across(cells.join(sets.select("key", "size", "columns").join(blocks, "key"), "key"), plan)
-    tested = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    third = work.keep(_multiply(pairs.join(tested, ["a", "b"], "left_anti"), sets, plan), "third")
-    done = done.union(third)
-    if third.where("linked").limit(1).count():
+    # blocks whose members are still in several components; of two members the pair has been tested. Blocks with one
+    # least member have most members in common, so these are gathered by it, once for all such blocks
+    rooted = work.keep(_rooted(members.select("sig", "key"), "key", roots, "root"), "rooted")
+    work.drop("members")
+    mixed = rooted.groupBy("sig").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("key").alias("lead"))
+    rows = rooted.join(mixed.where("low <> high and size > 2").select("sig", "lead"), "sig").groupBy("lead", "key").agg(F.first("root").alias("root"))
+    rows = work.keep(rows, "mixed")
+    work.drop("rooted")
+    tiles = rows.groupBy("lead").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    cells = rows.join(tiles, "lead").withColumn("tile", F.pmod(F.hash("key"), "tiles")).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+    cells = cells.select("lead", "key", "root", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
+    pairs = _across(cells.join(outlines, "key"), plan)
+    pairs = work.keep(pairs.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    if pairs.limit(1).count():
+        third = work.keep(_multiply(pairs, work.keep(_sets(docs, n, _keys(pairs)), "sets"), plan), "third")
+        done = done.union(third)
         roots = components(done.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")), work, "joined-third")
 
     nodes = profile.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
     nodes = _rooted(nodes, "key", roots, "root")
     named = nodes.join(nodes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
     named = work.keep(named, "named")
-    for name in ("members", "stars", "sets", "mixed"):
+    for name in ("stars", "outlines", "possible", "sets", "mixed", "pairs"):
         work.drop(name)
     return profile.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _keys(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
