@@ -165,6 +165,7 @@ def write_shards(docs: DataFrame, path: str | None = None, end: int = END, shard
                     shard += 1
         if held:
             yield close()
+        cache.shrink()
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(relieved(run), SHARD_SCHEMA)

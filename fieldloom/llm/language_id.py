@@ -213,6 +213,7 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
         for batch in batches:
             names, scores = predict_column(model, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        _classifier.cache_clear()  # building it again takes less than the memory is worth to the next step
 
     return docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text").mapInArrow(relieved(run), SCHEMA)
 

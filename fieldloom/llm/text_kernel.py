@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text that one vectorised step takes (more when one text is longer); bounds the scratch arrays.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -118,8 +118,10 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         return np.zeros(0, U)
     lengths = ends - starts
     first = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    value = LOWER[raw[place + np.repeat(starts, lengths)]].astype(U) + U(1)
+    small = np.int32 if len(raw) < 1 << 31 else np.int64
+    place = np.arange(int(lengths.sum()), dtype=small) - np.repeat(first.astype(small), lengths)
+    value = LOWER[raw[place + np.repeat(starts.astype(small), lengths)]].astype(U)
+    value += U(1)
     value *= powers(int(lengths.max()))[place]
     return mix(np.add.reduceat(value, first) + lengths.astype(U) * U(0xD6E8FEB86659FD93))
 

@@ -123,5 +123,6 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(tokens), pa.array(tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"]
             )
+        cache.shrink()
 
     return docs.select("doc_id", "text").mapInArrow(relieved(run), SCHEMA)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from tokenizers import Tokenizer
 
 #: Chunks in each of the two generations of a worker's cache.
 CACHE_CHUNKS = 200_000
+#: Chunks that a worker keeps from a task to the next.
+KEPT_CHUNKS = 60_000
 #: Bytes of text that are encoded at a time.
 BATCH_BYTES = 4_000_000
 _PRINTED = np.zeros(256, bool)
@@ -94,6 +97,10 @@ class ChunkCache:
         self.fixed = {t: special(i) for t, i in self.special.items()}
         self.value, self.known, self.older = value, {}, {}
 
+    def shrink(self) -> None:
+        """Forgets all but the chunks that were met first, among which the frequent ones are; for the end of a task."""
+        self.known, self.older = dict(islice(self.known.items(), KEPT_CHUNKS)), {}
+
     def look_up(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
         """The values of the distinct chunks, the index of each chunk's value, and of each text's first chunk."""
         at = cuts(raw, offsets, self.special)
