@@ -16,7 +16,7 @@ given); columns of the input named like the added ones are replaced; targets of
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldloom.llm.shared import Workspace
-from fieldloom.llm.text_kernel import NONSPACE, slices, utf8, word_spans
+from fieldloom.llm.text_kernel import NONSPACE, relieved, slices, utf8, word_spans
 
 CELLS = 200_000
 ROUNDS = 200
@@ -53,12 +53,26 @@ _BEGINS = (np.arange(256) & 0xC0) != 0x80  # of a code point
 KINDS = ("prose", "brief", "noise", "table")
 
 
-@F.arrow_udf(T.StructType([T.StructField("words", T.LongType()), T.StructField("topic", T.StringType())]))
-def measured(text: pa.Array) -> pa.Array:
-    """Words (runs without ASCII white space) and a rough kind of content of each text: table (a cell mark in fifty
-    characters), noise (a sign in twenty), brief (under 400 characters), else prose."""
+def measured(docs: DataFrame, kept: list[str]) -> DataFrame:
+    """The columns ``kept`` of ``docs`` with ``__mix_words`` and ``__mix_topic`` of the text.
+
+    Words are runs without ASCII white space. The kinds of content are table (a cell mark in fifty characters), noise (a
+    sign in twenty), brief (under 400 characters), else prose.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, topic = _measures(batch.column(0))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], words, topic], [*batch.schema.names[1:], "__mix_words", "__mix_topic"])
+
+    held = docs.select(F.col("text").alias("__mix_text"), *kept)
+    schema = T.StructType([*held.schema.fields[1:], T.StructField("__mix_words", T.LongType()), T.StructField("__mix_topic", T.StringType())])
+    return held.mapInArrow(relieved(run), schema)
+
+
+def _measures(text: pa.Array) -> tuple[pa.Array, pa.Array]:
     raw, offsets = utf8(text)
-    counts, kinds = [], []
+    counts, kinds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for lo, hi in slices(offsets):
         part, at = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
 
@@ -71,9 +85,8 @@ def measured(text: pa.Array) -> pa.Array:
         kind = np.where(20 * number(_SIGNS) >= size + 20, 2, kind)
         kinds.append(np.where(50 * number(_CELLS) >= size + 50, 3, kind))
         counts.append(np.diff(word_spans(part, at, NONSPACE)[2]))
-    n = np.concatenate([np.zeros(0, np.int64), *counts])
-    topic = pa.DictionaryArray.from_arrays(pa.array(np.concatenate([np.zeros(0, np.int64), *kinds]).astype(np.int32)), pa.array(KINDS)).cast(pa.string())
-    return pa.StructArray.from_arrays([pa.array(n, pa.int64()), topic], ["words", "topic"])
+    topic = pa.DictionaryArray.from_arrays(pa.array(np.concatenate(kinds).astype(np.int32)), pa.array(KINDS)).cast(pa.string())
+    return pa.array(np.concatenate(counts), pa.int64()), topic
 
 
 def shares(tokens: pd.Series, target: Mapping[str, float]) -> pd.Series:
@@ -164,16 +177,11 @@ def mixture(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGET
     """
     spark = docs.sparkSession
     level = {m: f"__mix_{m}" for m in MARGINS}
-    marked = docs.withColumn("__mix", measured("text")).withColumns(
-        {
-            level["source"]: F.coalesce("source", F.lit("unknown")),
-            level["lang"]: F.coalesce("lang", F.lit("unknown")),
-            level["topic"]: F.col("__mix.topic"),
-            "__mix_words": F.col("__mix.words"),
-            "__mix_draw": F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", F.coalesce("text", F.lit(""))), 11) / float(1 << 53),
-        }
-    )
-    cells = marked.groupBy(*(F.col(level[m]).alias(m) for m in MARGINS)).agg(F.sum("__mix_words").alias("tokens")).where("tokens > 0")
+    levels = {level[m]: F.coalesce(m, F.lit("unknown")) for m in ("source", "lang")}
+    counted = measured(docs, ["source", "lang"]).withColumns(levels)
+    cells = counted.groupBy(*(F.col(level[m]).alias(m) for m in MARGINS)).agg(F.sum("__mix_words").alias("tokens")).where("tokens > 0")
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", F.coalesce("text", F.lit(""))), 11) / float(1 << 53)
+    marked = measured(docs, docs.columns).withColumns({**levels, "__mix_draw": draw})
     work = Workspace(spark, "mixing")
     cells = work.keep(cells, "counts")
     if cells.limit(cells_bound + 1).count() <= cells_bound:

@@ -18,11 +18,11 @@ import pyarrow as pa
 from tokenizers import Tokenizer
 
 #: Chunks in each of the two generations of a worker's cache.
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 120_000
 #: Chunks that a worker keeps from a task to the next.
 KEPT_CHUNKS = 60_000
 #: Bytes of text that are encoded at a time.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 3_000_000
 _PRINTED = np.zeros(256, bool)
 _PRINTED[0x21:0x7F] = True
 #: 1 for letters of ASCII, 2 for digits, 3 for its other signs, 0 for what isn't told from a byte.
