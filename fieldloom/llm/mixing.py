@@ -31,6 +31,8 @@ from fieldloom.llm.text_kernel import NONSPACE, relieved, slices, utf8, word_spa
 CELLS = 200_000
 ROUNDS = 200
 CLOSE = 1e-9
+#: Bytes of text in a batch that goes back to the engine.
+OUT_BYTES = 4_000_000
 MARGINS = ("source", "lang", "topic")
 #: Targets of the registered query: marginal shares by level; "*" gives every other level an equal part of its share.
 TARGETS: dict[str, dict[str, float]] = {
@@ -62,8 +64,10 @@ def measured(docs: DataFrame, kept: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, topic = _measures(batch.column(0))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], words, topic], [*batch.schema.names[1:], "__mix_words", "__mix_topic"])
+            for lo, hi in slices(utf8(batch.column(0))[1], OUT_BYTES):  # small batches, as texts go back whole
+                part = batch.slice(lo, hi - lo)
+                words, topic = _measures(part.column(0))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], words, topic], [*part.schema.names[1:], "__mix_words", "__mix_topic"])
 
     held = docs.select(F.col("text").alias("__mix_text"), *kept)
     schema = T.StructType([*held.schema.fields[1:], T.StructField("__mix_words", T.LongType()), T.StructField("__mix_topic", T.StringType())])
