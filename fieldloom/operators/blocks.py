@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.density import LOG_2PI
-from fieldloom.plans.covariance import Covariance
+from fieldloom.plans.covariance import Covariance, Diagonal
 
 LARGEST = 4_000
 
@@ -42,14 +42,17 @@ def gaussian_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def noise_summary(rows: DataFrame, keys: Sequence[str], order: Sequence[str], covariance: Covariance) -> DataFrame:
-    """Median deviation, effective number of independent observations and least eigenvalue of each block."""
+    """Median deviation, effective number of independent observations and least eigenvalue of each block; no matrix is made of a diagonal."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(order))
-        low, r = _factor(pdf, covariance), covariance.matrix(pdf)
-        ones = np.linalg.solve(low, np.ones(len(pdf)))
-        variance = np.diag(r)
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "n": len(pdf), "median_sd": float(np.median(np.sqrt(variance))), "effective_n": float(ones @ ones * np.median(variance)), "least_eigenvalue": float(np.linalg.eigvalsh(r)[0])}])
+        if isinstance(covariance, Diagonal):
+            variance = pdf[covariance.deviation].to_numpy(float) ** 2
+            ones, least = 1 / np.sqrt(variance), variance.min()
+        else:
+            low, r = _factor(pdf, covariance), covariance.matrix(pdf)
+            ones, variance, least = np.linalg.solve(low, np.ones(len(pdf))), np.diag(r), np.linalg.eigvalsh(r)[0]
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "n": len(pdf), "median_sd": float(np.median(np.sqrt(variance))), "effective_n": float(ones @ ones * np.median(variance)), "least_eigenvalue": float(least)}])
 
     return rows.groupBy(*keys).applyInPandas(one, f"{_kinds(rows, keys)}, n long, median_sd double, effective_n double, least_eigenvalue double")
 

@@ -143,16 +143,27 @@ def dense_block_density(spark, sf):
     return rounded(gaussian_blocks(daily, ["k"], ["day"], "r", Kernel("day", exponential(0.8, 20.0))))
 
 
-@query("""select l_suppkey, count(*) as n, round(median(10 + l_linenumber), 6) as median_sd, round(sum(1 / pow(10.0 + l_linenumber, 2)) * median(pow(10.0 + l_linenumber, 2)), 6) as effective_n, round(min(pow(10.0 + l_linenumber, 2)), 6) as least_eigenvalue
-from lineitem where l_suppkey < 10 group by 1""")
-def noise_summary(spark, sf):
+def _supplier_noise(items):
     from fieldloom.operators.blocks import noise_summary as summary
     from fieldloom.plans.covariance import Diagonal
 
-    rows = table(spark, sf, "lineitem").where("l_suppkey < 10").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", (10.0 + F.col("l_linenumber")).alias("sd"))
+    rows = items.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", (10.0 + F.col("l_linenumber")).alias("sd"))
     return rounded(summary(rows, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey"], Diagonal("sd")))
 
 
+@query("""select l_suppkey, count(*) as n, round(median(10 + l_linenumber), 6) as median_sd, round(sum(1 / pow(10.0 + l_linenumber, 2)) * median(pow(10.0 + l_linenumber, 2)), 6) as effective_n, round(min(pow(10.0 + l_linenumber, 2)), 6) as least_eigenvalue
+from lineitem where l_suppkey < 10 group by 1""")
+def noise_summary(spark, sf):
+    """The suppliers that its SQL names; ``noise_summary_whole`` has every supplier."""
+    return _supplier_noise(table(spark, sf, "lineitem").where("l_suppkey < 10"))
+
+
+@query("""select l_suppkey, count(*) as n, round(median(10 + l_linenumber), 6) as median_sd, round(sum(1 / pow(10.0 + l_linenumber, 2)) * median(pow(10.0 + l_linenumber, 2)), 6) as effective_n, round(min(pow(10.0 + l_linenumber, 2)), 6) as least_eigenvalue
+from lineitem group by 1""")
+def noise_summary_whole(spark, sf):
+    return _supplier_noise(table(spark, sf, "lineitem"))
+
+
 @query(None)
 def noisy_interval_coverage(spark, sf):
     """Share of part sizes inside the 90 % interval of their line quantities with measurement noise added."""
