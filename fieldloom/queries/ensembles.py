@@ -58,21 +58,44 @@ def recurrence(parameters, forcing: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"pool": [pool], "gain": [total]})
 
 
+def _fan_out_parts(spark, sf, parts):
+    runs = parts.select(F.col("p_partkey").alias("sample"), F.pmod("p_partkey", F.lit(5)).alias("site"), (F.col("p_size") / 40.0).alias("decay"), F.col("p_retailprice").alias("start"))
+    forcing = table(spark, sf, "nation").select(F.col("n_regionkey").cast("long").alias("site"), "n_nationkey", F.col("n_nationkey").cast("double").alias("gain"))
+    out = E.fan_out(runs, recurrence, forcing, ["sample", "site"], ["decay", "start"], "site", "n_nationkey", "pool double, gain double")
+    return rounded(out.select("sample", "site", "pool", "gain", "status"))
+
+
 @query("""with f as (select n_regionkey, n_nationkey, n_nationkey::double as gain, row_number() over (partition by n_regionkey order by n_nationkey desc) - 1 as back, count(*) over (partition by n_regionkey) as n from nation),
 r as (select p_partkey as sample, p_size / 40.0 as decay, p_retailprice as start, p_partkey % 5 as site from part where p_partkey < 100)
 select sample, site, case when decay < 1 then round(start * pow(decay, max(n)) + sum(gain * pow(decay, back)), 6) end as pool, case when decay < 1 then sum(gain) end as gain, case when decay < 1 then 'ok' else 'failed' end as status
 from r join f on n_regionkey = site group by sample, site, decay, start""")
 def run_fanout_toy(spark, sf):
-    runs = table(spark, sf, "part").where("p_partkey < 100").select(F.col("p_partkey").alias("sample"), F.pmod("p_partkey", F.lit(5)).alias("site"), (F.col("p_size") / 40.0).alias("decay"), F.col("p_retailprice").alias("start"))
-    forcing = table(spark, sf, "nation").select(F.col("n_regionkey").cast("long").alias("site"), "n_nationkey", F.col("n_nationkey").cast("double").alias("gain"))
-    out = E.fan_out(runs, recurrence, forcing, ["sample", "site"], ["decay", "start"], "site", "n_nationkey", "pool double, gain double")
-    return rounded(out.select("sample", "site", "pool", "gain", "status"))
+    """The parts that its SQL names; ``run_fanout_toy_whole`` has every part."""
+    return _fan_out_parts(spark, sf, table(spark, sf, "part").where("p_partkey < 100"))
+
+
+@query("""with f as (select n_regionkey, n_nationkey, n_nationkey::double as gain, row_number() over (partition by n_regionkey order by n_nationkey desc) - 1 as back, count(*) over (partition by n_regionkey) as n from nation),
+r as (select p_partkey as sample, p_size / 40.0 as decay, p_retailprice as start, p_partkey % 5 as site from part)
+select sample, site, case when decay < 1 then round(start * pow(decay, max(n)) + sum(gain * pow(decay, back)), 6) end as pool, case when decay < 1 then sum(gain) end as gain, case when decay < 1 then 'ok' else 'failed' end as status
+from r join f on n_regionkey = site group by sample, site, decay, start""")
+def run_fanout_toy_whole(spark, sf):
+    return _fan_out_parts(spark, sf, table(spark, sf, "part"))
+
+
+def _failures_of(parts):
+    runs = parts.select(F.col("p_partkey").alias("sample"), (F.col("p_size") / 40.0).alias("decay"), F.col("p_retailprice").alias("start"))
+    return E.failure_summary(E.fan_out(runs, recurrence, None, ["sample"], ["decay", "start"], "sample", "sample", "pool double, gain double"), ["sample"])
 
 
 @query("""select 'ModelFailure' as error, 'the pool never decays' as message, count(*) as runs from part where p_partkey < 100 and p_size >= 40 having count(*) > 0""")
 def failure_summary(spark, sf):
-    runs = table(spark, sf, "part").where("p_partkey < 100").select(F.col("p_partkey").alias("sample"), (F.col("p_size") / 40.0).alias("decay"), F.col("p_retailprice").alias("start"))
-    return E.failure_summary(E.fan_out(runs, recurrence, None, ["sample"], ["decay", "start"], "sample", "sample", "pool double, gain double"), ["sample"])
+    """The parts that its SQL names; ``failure_summary_whole`` has every part."""
+    return _failures_of(table(spark, sf, "part").where("p_partkey < 100"))
+
+
+@query("""select 'ModelFailure' as error, 'the pool never decays' as message, count(*) as runs from part where p_size >= 40 having count(*) > 0""")
+def failure_summary_whole(spark, sf):
+    return _failures_of(table(spark, sf, "part"))
 
 
 @query("""select p_brand, bool_and(p_size < 40) as valid from part group by 1""")

@@ -31,3 +31,9 @@ def whole(spark, larger, name: str, rows: int) -> pd.DataFrame:
 
 def test_noise_of_every_supplier(spark, larger):
     assert whole(spark, larger, "noise_summary_whole", 100)["n"].astype(int).sum() == 60_000
+
+
+def test_a_run_of_every_part_and_all_failures(spark, larger):
+    runs = whole(spark, larger, "run_fanout_toy_whole", 2_000)
+    failed = whole(spark, larger, "failure_summary_whole", 1)
+    assert int(failed["runs"][0]) == (runs["status"] == "failed").sum() == 440
