@@ -43,6 +43,18 @@ def iso_week_year_pivot(spark, sf):
     return rounded(A.weekly_by_year(_daily(spark, sf), "day", "v", _YEARS, iso_week(F.col("day"))), 9)
 
 
+@query(f"with d as ({_DAILY}) select year(day)::int as year, {_WEEK}::int as week, round(avg(v), 9) as mean from d group by 1, 2")
+def weekly_year_means_whole(spark, sf):
+    """Every year of the record as rows; ``weekly_year_pivot`` has the years that its SQL names."""
+    return rounded(A.weekly_means(_daily(spark, sf), [], "day", "v"), 9)
+
+
+@query(f"with d as ({_DAILY}) select year(day)::int as year, least(weekofyear(day), 52)::int as week, round(avg(v), 9) as mean from d group by 1, 2")
+def iso_week_year_means_whole(spark, sf):
+    """Every year of the record as rows; ``iso_week_year_pivot`` has the years that its SQL names."""
+    return rounded(A.weekly_means(_daily(spark, sf), [], "day", "v", iso_week(F.col("day"))), 9)
+
+
 @query(f"""with d as ({_DAILY}), w as (select k, year(day) as y, {_WEEK} as w, avg(v) as m from d group by 1, 2, 3),
 o as (select k, y, m, (sum(m) over (partition by k, w) - m) / nullif(count(m) over (partition by k, w) - 1, 0) as o from w)
 select k, y::int as year, round(corr(m, o), 9) as correlation, count(*) as n from o where o is not null group by 1, 2 having count(*) > 10""")
