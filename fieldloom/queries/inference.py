@@ -129,18 +129,32 @@ def eki_linear(spark, sf):
     return spark.createDataFrame([(i, float(e), float(x)) for i, (e, x) in enumerate(zip(final.theta.mean(0), exact, strict=True))], "entry long, estimate double, exact double")
 
 
+def _priority_blocks(orders):
+    from fieldloom.operators.blocks import gaussian_blocks
+    from fieldloom.plans.covariance import Kernel, exponential
+
+    daily = orders.groupBy(F.col("o_orderpriority").alias("k"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1996-01-01").cast("date")).alias("day")).agg((F.avg("o_totalprice") / 100000 - 2.5).alias("r"))
+    return rounded(gaussian_blocks(daily, ["k"], ["day"], "r", Kernel("day", exponential(0.8, 20.0))))
+
+
 @query("""with d as (select o_orderpriority as k, o_orderdate::date as day, avg(o_totalprice) / 100000 - 2.5 as r from orders where year(o_orderdate) = 1996 group by 1, 2),
 l as (select k, r, lag(r) over w as p, day - lag(day) over w as gap from d window w as (partition by k order by day)),
 s as (select k, case when p is null then r else r - exp(-gap / 20.0) * p end as e, case when p is null then 0.64 else 0.64 * (1 - exp(-2 * gap / 20.0)) end as v from l)
 select k, count(*) as n, round(sum(e * e / v) / 2, 6) as misfit, round(sum(ln(v)), 6) as log_det, round(-sum(e * e / v) / 2 - 0.5 * (sum(ln(v)) + count(*) * ln(2 * pi())), 6) as log_density from s group by 1""")
 def dense_block_density(spark, sf):
-    """Blocks with an exponential covariance, whose density is also a product of conditional normals."""
-    from fieldloom.operators.blocks import gaussian_blocks
-    from fieldloom.plans.covariance import Kernel, exponential
+    """Blocks with an exponential covariance, whose density is also a product of conditional normals.
 
-    orders = table(spark, sf, "orders").where(F.year("o_orderdate") == 1996)
-    daily = orders.groupBy(F.col("o_orderpriority").alias("k"), F.datediff(F.col("o_orderdate").cast("date"), F.lit("1996-01-01").cast("date")).alias("day")).agg((F.avg("o_totalprice") / 100000 - 2.5).alias("r"))
-    return rounded(gaussian_blocks(daily, ["k"], ["day"], "r", Kernel("day", exponential(0.8, 20.0))))
+    The year that its SQL names; ``dense_block_density_whole`` has the whole record.
+    """
+    return _priority_blocks(table(spark, sf, "orders").where(F.year("o_orderdate") == 1996))
+
+
+@query("""with d as (select o_orderpriority as k, o_orderdate::date as day, avg(o_totalprice) / 100000 - 2.5 as r from orders group by 1, 2),
+l as (select k, r, lag(r) over w as p, day - lag(day) over w as gap from d window w as (partition by k order by day)),
+s as (select k, case when p is null then r else r - exp(-gap / 20.0) * p end as e, case when p is null then 0.64 else 0.64 * (1 - exp(-2 * gap / 20.0)) end as v from l)
+select k, count(*) as n, round(sum(e * e / v) / 2, 6) as misfit, round(sum(ln(v)), 6) as log_det, round(-sum(e * e / v) / 2 - 0.5 * (sum(ln(v)) + count(*) * ln(2 * pi())), 6) as log_density from s group by 1""")
+def dense_block_density_whole(spark, sf):
+    return _priority_blocks(table(spark, sf, "orders"))
 
 
 def _supplier_noise(items):
@@ -182,5 +196,5 @@ def covariance_fit(spark, sf):
 
     orders = table(spark, sf, "orders")
     daily = orders.groupBy(F.year("o_orderdate").alias("year"), F.dayofyear("o_orderdate").alias("day")).agg((F.avg("o_totalprice") / 100000 - 2.5).alias("r"))
-    found, density = maximum_likelihood(daily.where("year < 1998").cache(), ["year"], ["day"], "r", lambda p: Kernel("day", exponential(p[0], p[1])), [1.0, 2.0], rounds=4)
+    found, density = maximum_likelihood(daily.cache(), ["year"], ["day"], "r", lambda p: Kernel("day", exponential(p[0], p[1])), [1.0, 2.0], rounds=4)
     return spark.createDataFrame([("sd", float(found[0])), ("scale", float(found[1])), ("log_density", density)], "quantity string, value double")

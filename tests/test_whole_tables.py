@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -43,3 +44,19 @@ def test_a_run_of_every_part_and_all_failures(spark, larger):
 def test_weeks_of_every_year(spark, larger, name):
     years = {int(y) for y in whole(spark, larger, name)["year"]}
     assert years == {y for (y,) in larger.sql("select distinct year(o_orderdate) from orders").fetchall()} and max(years) > 1998
+
+
+def test_density_of_the_whole_record(spark, larger):
+    days = larger.sql("select count(*) from (select distinct o_orderpriority, o_orderdate::date from orders)").fetchall()[0][0]
+    assert whole(spark, larger, "dense_block_density_whole", 5)["n"].astype(int).sum() == days
+
+
+def test_covariance_is_fitted_on_every_year(spark, sf):
+    found = {r["quantity"]: r["value"] for r in catalog.QUERIES["covariance_fit"](spark, sf).collect()}
+    rows = duckdb.sql(f"select year(o_orderdate) as year, dayofyear(o_orderdate) as day, avg(o_totalprice) / 100000 - 2.5 as r from '{sf}/orders.parquet' group by 1, 2").df()
+    want = 0.0
+    for _, x in rows.groupby("year"):
+        at, r = x["day"].to_numpy(float), x["r"].to_numpy(float)
+        cov = found["sd"] ** 2 * np.exp(-np.abs(at[:, None] - at[None, :]) / found["scale"])
+        want -= 0.5 * (r @ np.linalg.solve(cov, r) + np.linalg.slogdet(cov)[1] + len(x) * np.log(2 * np.pi))
+    assert abs(found["log_density"] - want) < 1e-6 * abs(want)
