@@ -100,7 +100,7 @@ def smc_gaussian(spark, sf):
     from fieldloom.inference import smc as S
 
     stats = table(spark, sf, "part").agg(F.count("*").alias("n"), F.avg((F.col("p_retailprice") - 1000) / 100).alias("m")).first()
-    n, m = min(stats["n"], 50), stats["m"]
+    n, m = stats["n"], stats["m"]
 
     def evaluate(frame):
         t = F.element_at("theta", 1)

@@ -60,3 +60,10 @@ def test_covariance_is_fitted_on_every_year(spark, sf):
         cov = found["sd"] ** 2 * np.exp(-np.abs(at[:, None] - at[None, :]) / found["scale"])
         want -= 0.5 * (r @ np.linalg.solve(cov, r) + np.linalg.slogdet(cov)[1] + len(x) * np.log(2 * np.pi))
     assert abs(found["log_density"] - want) < 1e-6 * abs(want)
+
+
+def test_the_likelihood_counts_every_part(spark, sf):
+    n, m = duckdb.sql(f"select count(*), avg((p_retailprice - 1000) / 100) from '{sf}/part.parquet'").fetchall()[0]
+    exact = {r["quantity"]: r["exact"] for r in catalog.QUERIES["smc_gaussian"](spark, sf).collect()}
+    assert n > 50 and np.isclose(exact["mean"], 9 * n * m / (1 + 9 * n))
+    assert np.isclose(exact["log_evidence"], -0.5 * np.log1p(9 * n) - 0.5 * n * m * m / (1 + 9 * n))
