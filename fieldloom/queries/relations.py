@@ -131,17 +131,29 @@ def stack_roundtrip(spark, sf):
     return R.unstack(stacked, labels, "stacked").join(labels, dims).select("stacked", *dims, "n")
 
 
-@query("""select vec_id, i - 1 as entry, embedding[i]::double as value from embeddings, generate_series(1, 4) t(i) where vec_id < 2000""")
-def layout_roundtrip(spark, sf):
-    """Vectors to entries, to a vector again, and to entries once more, through a layout of four named elements."""
+def _through_layout(embeddings):
     from fieldloom.plans.layout import Component, Layout
 
     layout = Layout([Component("a", elements=("x", "y")), Component("b", elements=("x", "y"))])
-    vectors = table(spark, sf, "embeddings").where("vec_id < 2000").select("vec_id", F.slice("embedding", 1, 4).cast("array<double>").alias("flat"))
+    vectors = embeddings.select("vec_id", F.slice("embedding", 1, 4).cast("array<double>").alias("flat"))
     again = layout.to_flat(layout.to_entries(vectors, ["vec_id"], "flat"), ["vec_id"], "flat")
     return layout.to_entries(again, ["vec_id"], "flat").select("vec_id", F.col("entry").cast("long").alias("entry"), "value")
 
 
+@query("""select vec_id, i - 1 as entry, embedding[i]::double as value from embeddings, generate_series(1, 4) t(i) where vec_id < 2000""")
+def layout_roundtrip(spark, sf):
+    """Vectors to entries, to a vector again, and to entries once more, through a layout of four named elements.
+
+    The vectors that its SQL names; ``layout_roundtrip_whole`` has every vector.
+    """
+    return _through_layout(table(spark, sf, "embeddings").where("vec_id < 2000"))
+
+
+@query("""select vec_id, i - 1 as entry, embedding[i]::double as value from embeddings, generate_series(1, 4) t(i)""")
+def layout_roundtrip_whole(spark, sf):
+    return _through_layout(table(spark, sf, "embeddings"))
+
+
 @query("""select p_partkey, concat('embedding.', case k when 0 then 'size' else 'price' end) as variable, case k when 0 then p_size::double else p_retailprice end as value from part, generate_series(0, 1) t(k)""")
 def element_split(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", F.array(F.col("p_size").cast("double"), F.col("p_retailprice")).alias("embedding"))
@@ -161,11 +173,22 @@ def positions_in_order(spark, sf):
     return R.numbered(table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], "position").select("position", "o_orderkey")
 
 
+def _enumerated(spark, sf, suppliers):
+    regions = table(spark, sf, "nation").select("n_regionkey").distinct()
+    return R.run_table(3, [regions], suppliers.select("s_suppkey"))
+
+
 @query("""select sample, n_regionkey, s_suppkey, (row_number() over (order by sample, n_regionkey, s_suppkey) - 1) as run
 from generate_series(0, 2) t(sample), (select distinct n_regionkey from nation), (select s_suppkey from supplier where s_suppkey < 10)""")
 def run_enumeration(spark, sf):
-    regions = table(spark, sf, "nation").select("n_regionkey").distinct()
-    return R.run_table(3, [regions], table(spark, sf, "supplier").where("s_suppkey < 10").select("s_suppkey"))
+    """The suppliers that its SQL names; ``run_enumeration_whole`` has every supplier."""
+    return _enumerated(spark, sf, table(spark, sf, "supplier").where("s_suppkey < 10"))
+
+
+@query("""select sample, n_regionkey, s_suppkey, (row_number() over (order by sample, n_regionkey, s_suppkey) - 1) as run
+from generate_series(0, 2) t(sample), (select distinct n_regionkey from nation), (select s_suppkey from supplier)""")
+def run_enumeration_whole(spark, sf):
+    return _enumerated(spark, sf, table(spark, sf, "supplier"))
 
 
 @query("""select event_id, user_id, ts from events where event_type in ('click', 'view') and user_id in (1, 2, 3, 5, 8) and ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-21'""")

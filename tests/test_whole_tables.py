@@ -67,3 +67,16 @@ def test_the_likelihood_counts_every_part(spark, sf):
     exact = {r["quantity"]: r["exact"] for r in catalog.QUERIES["smc_gaussian"](spark, sf).collect()}
     assert n > 50 and np.isclose(exact["mean"], 9 * n * m / (1 + 9 * n))
     assert np.isclose(exact["log_evidence"], -0.5 * np.log1p(9 * n) - 0.5 * n * m * m / (1 + 9 * n))
+
+
+def test_runs_of_every_supplier(spark, larger):
+    whole(spark, larger, "run_enumeration_whole", 3 * 5 * 100)
+
+
+def test_layout_of_vectors_with_large_ids(spark, tmp_path):
+    duckdb.sql(f"copy (select vec_id + 1990 as vec_id, * exclude (vec_id) from '{SF}/embeddings.parquet' where vec_id < 20) to '{tmp_path}/embeddings.parquet'")
+    rows = catalog.QUERIES["layout_roundtrip_whole"](spark, str(tmp_path)).collect()
+    connection = duckdb.connect()
+    connection.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
+    want = connection.sql(catalog.ORACLE["layout_roundtrip_whole"]).fetchall()
+    assert {(r["vec_id"], r["entry"], r["value"]) for r in rows} == set(want) and len(rows) == len(want) == 80
