@@ -28,8 +28,6 @@ from fieldloom.llm.shared import Workspace
 from fieldloom.llm.text_kernel import relieved
 
 EVENT_SCHEMA = "conv_id long, turn long, place int, role string, kind string, call_id string, name string, needs array<string>, errors array<string>, json string"
-#: Calls with several dependencies that are followed on one way; one with more before it counts as unordered.
-DEPTH = 1_000
 _KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
 #: The tool that a plain conversation is seen to call in ``as_tool_turns``.
 REPLY = "reply"
@@ -213,7 +211,7 @@ def _levels(calls: DataFrame, work: Workspace) -> DataFrame:
 
     Calls with one dependency form chains, which may be as long as a conversation: pointers along them double their reach
     each round, to the chain's anchor (a call with none or several). The anchors' own levels take a round for each
-    call with several dependencies on the longest way, ``DEPTH`` at most.
+    call with several dependencies on the longest way, and end when a round places none.
     """
     needs = calls.select("conv_id", "call_row", F.size("needs").alias("n"), F.explode_outer("needs").alias("call_id"))
     edges = needs.join(calls.select("conv_id", "call_id", F.col("call_row").alias("need_row")), ["conv_id", "call_id"], "left")
@@ -234,14 +232,14 @@ def _levels(calls: DataFrame, work: Workspace) -> DataFrame:
     several = edges.where("n > 1").select("call_row", "need_row").join(anchored.withColumnsRenamed({"call_row": "need_row"}), "need_row", "left")
     several = work.keep(several.select("call_row", F.coalesce("to_row", "need_row").alias("need_row"), F.coalesce("steps", F.lit(0)).alias("steps")), "several")
     waiting = several.select("call_row").distinct().count()
-    for k in range(DEPTH):
-        if not waiting:
-            break
+    k = 0
+    while waiting:
         level = known.select(F.col("call_row").alias("need_row"), F.col("level").alias("need_level"))
         ready = several.join(level, "need_row", "left").groupBy("call_row").agg(F.max(F.col("need_level") + 2 * F.col("steps")).alias("high"), F.count_if(F.col("need_level").isNull()).alias("open"))
         ready = ready.where("open = 0").select("call_row", (F.col("high") + 2).alias("found"))
         known = work.keep(known.join(ready, "call_row", "left").select("call_row", F.coalesce("level", "found").alias("level")), f"levels-{k + 1}")
-        before, waiting = waiting, known.where("level is null").count()
+        work.drop(f"levels-{k}")
+        before, waiting, k = waiting, known.where("level is null").count(), k + 1
         if waiting == before:
             break
     chained = anchored.join(known.select(F.col("call_row").alias("to_row"), "level"), "to_row", "left").select("call_row", (F.col("level") + 2 * F.col("steps")).alias("level"))

@@ -84,3 +84,12 @@ def test_whole_table_by_brute_force(spark, sf):
             assert body["content"] == source["text"] and r["status"] == ("linked" if before and before["role"] == "user" else "orphan")
         else:
             assert (r["status"], body["content"]) == ("message", source["text"])
+
+
+def test_ways_of_many_calls_with_several_needs_have_levels(spark, monkeypatch):
+    monkeypatch.setattr(C, "DEPTH", 2, raising=False)  # a bound on the rounds, if there is one, ends here
+    made = [call("c0"), call("c1"), *(call(f"c{i}", needs=(f"c{i - 1}", f"c{i - 2}")) for i in range(2, 7))]
+    calls = [(1, i, "assistant", json.dumps({"tool_calls": [x]})) for i, x in enumerate(made)]
+    rows = C.link(spark.createDataFrame(calls, "conv_id long, turn long, role string, text string")).collect()
+    assert {r["call_id"]: r["level"] for r in rows} == {"c0": 0, "c1": 0, **{f"c{i}": 2 * (i - 1) for i in range(2, 7)}}
+    assert "unordered" not in {r["status"] for r in rows}
