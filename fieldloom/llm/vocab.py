@@ -81,9 +81,12 @@ def cuts(raw: np.ndarray, offsets: np.ndarray, special: dict[bytes, int]) -> np.
     cut[1:n] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0) & (raw[:-1] != 0x27)
     cut[feed + 1] = True
     cut[offsets] = True
+    data = raw.tobytes() if special else b""
     for token in special:
-        data, at = raw.tobytes(), -1
+        at = -1
         while (at := data.find(token, at + 1)) >= 0:
+            if offsets[np.searchsorted(offsets, at, "right")] < at + len(token):
+                continue  # spelled over the end of a text: no token in either
             cut[at + 1 : at + len(token)] = False
             cut[at] = cut[at + len(token)] = True
     return np.flatnonzero(cut)

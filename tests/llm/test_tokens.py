@@ -30,6 +30,27 @@ def test_counts_and_ids_equal_the_library(texts):
     assert lengths.tolist() == [len(x) + 1 for x in want] and ids.tolist() == [i for x in want for i in (*x, 0)]
 
 
+@settings(max_examples=60, deadline=None)
+@given(PIECES.map("".join), st.lists(st.integers(0, 400), max_size=8))
+def test_special_tokens_cut_by_the_ends_of_texts(text, places):
+    """One string cut anywhere, inside its special tokens too: each part is a text of its own, in one batch or in two."""
+    text = f"a <|endoftext|> b{text}<|endoftext|><|endoftext|>"
+    edges = sorted({0, len(text), *(p % len(text) for p in places)})
+    texts = [text[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    want = [library(t) for t in texts]
+    for part, expected in ((texts, want), (texts[: len(texts) // 2], want[: len(texts) // 2]), (texts[len(texts) // 2 :], want[len(texts) // 2 :])):
+        raw, offsets = utf8(pa.array(part, pa.string()))
+        assert token_counts.count(raw, offsets, token_counts.counter(PATH)).tolist() == [len(x) for x in expected]
+        assert dac.encode_texts(raw, offsets, dac.encoder(PATH))[0].tolist() == [i for x in expected for i in (*x, 0)]
+
+
+def test_special_token_over_two_documents(spark):
+    frame = spark.createDataFrame([(1, "a <|end"), (2, "oftext|> b")], "doc_id long, text string").coalesce(1)
+    want = [len(library("a <|end")), len(library("oftext|> b"))]
+    assert [r["n_tokens"] for r in token_counts.token_counts(frame).orderBy("doc_id").collect()] == want
+    assert [(r["start"], r["n_tokens"]) for r in dac.token_file_digest(frame).orderBy("doc_id").collect()] == [(0, want[0] + 1), (want[0] + 1, want[1] + 1)]
+
+
 def test_merges_of_runs():
     m = token_counts.Merger(PATH)
     words = [b"a" * n for n in range(1, 40)] + [b" " * n for n in range(1, 20)] + [b"0" * 33]
