@@ -34,13 +34,13 @@ def stream_cells(steps: DataFrame, keys: Sequence[str], time: str, value: str, f
 
 def run_once(spark: SparkSession, path: str, keys: Sequence[str], time: str, value: str, freq: str, how: str) -> DataFrame:
     """All cells of the files that are there now, from a stream that ends with them (complete output, exactly once)."""
-    import tempfile
     import uuid
 
+    from fieldloom.staging import shared_root
+
     panel_session(spark)
     schema = spark.read.parquet(path).schema
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fieldloom-stream-")
-    place = f"{root.rstrip('/')}/cells-{uuid.uuid4().hex}"
+    place = f"{shared_root(spark)}/cells-{uuid.uuid4().hex}"
     folder, _, name = path.rstrip("/").rpartition("/")
     source = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") and not _is_folder(spark, path) else spark.readStream.schema(schema).parquet(path)
     cells = stream_cells(source, keys, time, value, freq, how)
