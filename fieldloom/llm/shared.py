@@ -1,41 +1,14 @@
-"""Tables in the folder that driver and executors share, and joins that check a size before they broadcast."""
+"""Joins that check a size before they broadcast, and filters of hashes; ``Workspace`` holds tables of a run."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.staging import Workspace, shared_root
 
-def shared_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, as in tests on one machine, a temporary folder that is then set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fieldloom-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-class Workspace:
-    """Parquet tables of one run. They cut lineage: a lost executor costs the tasks it ran, never the steps before."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def keep(self, frame: DataFrame, name: str) -> DataFrame:
-        to = f"{self.path}/{name}"
-        frame.write.mode("overwrite").parquet(to)
-        return self.spark.read.schema(frame.schema).parquet(to)
-
-    def drop(self, name: str = "") -> None:
-        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        path.getFileSystem(conf).delete(path, True)
+__all__ = ["Workspace", "shared_root", "without", "bitmap", "in_bitmap"]
 
 
 #: Ids that a broadcast of keys may hold (8 bytes each); beyond, the join shuffles.
@@ -47,3 +20,27 @@ def without(frame: DataFrame, keys: DataFrame, key: str, bound: int = BROADCAST_
     if keys.limit(bound + 1).count() <= bound:
         keys = F.broadcast(keys)
     return frame.join(keys, key, "left_anti")
+
+
+#: Bits of the largest filter of hashes that is sent to every task.
+FILTER_BITS = 1 << 26
+
+
+def bitmap(hashes: DataFrame, column: str, most: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap of a column of hashes, gathered by an OR over all tasks: sixteen bits a row, up to ``most`` in all.
+
+    Beyond that it lets more through, which costs time alone.
+    """
+    size = min(most, 1 << max(10, (16 * hashes.count()).bit_length()))
+    slot = F.col(column).bitwiseAND(F.lit(size - 1))
+    bits = hashes.select(F.shiftright(slot, 5).alias("word"), F.expr(f"shiftleft(1L, cast(`{column}` & 31L as int))").alias("bit"))
+    words = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # size / 32 rows at most
+    out = np.zeros(size // 32, np.uint32)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def in_bitmap(hashes: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which signed hashes the bitmap may hold."""
+    slot = hashes & np.int64(32 * len(held) - 1)
+    return (held[slot >> 5] >> (slot & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
