@@ -6,8 +6,9 @@ import re
 from dataclasses import dataclass, field
 from html import unescape
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_GAP = re.compile(r"[\s/=]*")
 #: Their contents aren't markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -16,6 +17,9 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul video audio".split()
 )
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
+#: Marked articles within each other that are told apart; deeper ones count as the innermost of them.
+MARKS = 16
 #: Open elements of these kinds end where a new one of the kind, or any block for p, begins.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("article main section div body html table ul ol dl nav aside header footer form figure td th".split())
@@ -36,7 +40,8 @@ class Block:
     text: str
     tag: str
     boiler: bool
-    article: bool
+    #: The marked articles (numbers in page order) that it stands in, from the outermost.
+    articles: tuple[int, ...]
     link_chars: int
 
 
@@ -57,8 +62,24 @@ class Page:
     media: list[Media] = field(default_factory=list)
 
 
-def attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
+def attributes(html: str, at: int) -> tuple[dict[str, str], int]:
+    """Attributes from ``at`` in a tag, and the place after its end; -1 where the tag doesn't end."""
+    found: dict[str, str] = {}
+    while True:
+        if html.startswith(">", at):
+            return found, at + 1
+        m = _ATTRIBUTE.match(html, at)
+        if m is None:
+            at = _GAP.match(html, at).end()
+            if html.startswith(">", at):
+                return found, at + 1
+            if at >= len(html):
+                return found, -1
+            continue
+        name = m[1].lower()
+        if name not in found:
+            found[name] = unescape(m[2] or m[3] or m[4] or "")
+        at = m.end()
 
 
 def _is_boiler(tag: str, found: dict[str, str]) -> bool:
@@ -69,67 +90,107 @@ def _is_boiler(tag: str, found: dict[str, str]) -> bool:
     return any(x in BOILER_NAMES for x in re.split(r"[\s_-]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
 
 
+@dataclass(slots=True)
+class _Open:
+    """An open element, with what holds for all inside it."""
+
+    tag: str
+    boiler: bool
+    articles: tuple[int, ...]
+    block: str
+    link: bool
+    figure: bool
+
+
 def scan(html: str) -> Page:
-    """Blocks and media of a page in page order. White space within a block is one space; references are decoded."""
+    """Blocks and media of a page in page order. White space within a block is one space; references are decoded.
+
+    One pass in time linear in the page: each open element knows its surroundings, and the last place of each tag is kept.
+    As in browsers, a tag that doesn't end swallows the rest of the page.
+    """
     page = Page()
-    stack: list[tuple[str, bool, bool]] = []  # tag, boiler, article
+    outside = _Open("", False, (), "", False, False)
+    stack: list[_Open] = []
+    places: dict[str, list[int]] = {}  # of each open tag
+    scopes: list[int] = []
     parts: list[str] = []
     linked = 0
     figure: list[int] = []  # media of the open figure
-    at = 0
+    marks = 0
 
-    def top() -> tuple[str, bool, bool]:
-        return stack[-1] if stack else ("", False, False)
+    def top() -> _Open:
+        return stack[-1] if stack else outside
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                tag = next((t for t, *_ in reversed(stack) if t in BLOCK), "")
-                page.blocks.append(Block(text, tag, top()[1], top()[2], min(linked, len(text))))
-                if tag == "figcaption":
+                held = top()
+                page.blocks.append(Block(text, held.block, held.boiler, held.articles, min(linked, len(text))))
+                if held.block == "figcaption":
                     for k in figure:
                         page.media[k].caption = text
             parts.clear()
         linked = 0
 
     def pop_to(k: int) -> None:
-        if any(t in BLOCK for t, *_ in stack[k:]) or (k < len(stack) and stack[-1][1] != (k > 0 and stack[k - 1][1])):
+        gone = stack[k:]
+        if any(x.tag in BLOCK for x in gone) or (gone and gone[-1].boiler != (k > 0 and stack[k - 1].boiler)):
             flush()
-        if any(t == "figure" for t, *_ in stack[k:]):
+        if any(x.tag == "figure" for x in gone):
             figure.clear()
+        for x in reversed(gone):
+            places[x.tag].pop()
+            if x.tag in _SCOPE:
+                scopes.pop()
         del stack[k:]
 
+    def last(tag: str) -> int:
+        held = places.get(tag)
+        return held[-1] if held else -1
+
+    def say(text: str) -> None:
+        nonlocal linked
+        parts.append(decoded := unescape(text))
+        if top().link:
+            linked += len(decoded.strip())
+
+    at = 0
     while at < len(html):
-        m = _TOKEN.search(html, at)
-        text = html[at : m.start()] if m else html[at:]
-        if text:
-            parts.append(decoded := unescape(text))
-            if any(t == "a" for t, *_ in stack):
-                linked += len(decoded.strip())
-        if not m:
+        begin = html.find("<", at)
+        if begin != at:
+            say(html[at:] if begin < 0 else html[at:begin])
+        if begin < 0:
             break
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
-                if stack[k][0] in _SCOPE and tag not in _SCOPE:
+        sign = html[begin + 1 : begin + 2]
+        if sign in ("!", "?"):
+            for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<", ">")):
+                if html.startswith(opening, begin):
+                    end = html.find(closing, begin + len(opening))
+                    at = len(html) if end < 0 else end + len(closing)
                     break
             continue
-        found = attributes(m[3])
+        name = _NAME.match(html, begin + (2 if sign == "/" else 1))
+        if name is None:
+            say("<")
+            at = begin + 1
+            continue
+        tag = name[0].lower()
+        found, at = attributes(html, name.end())
+        if at < 0:
+            break
+        if sign == "/":
+            k = last(tag)
+            if k >= 0 and (tag in _SCOPE or not scopes or scopes[-1] < k):
+                pop_to(k)
+            elif tag in BLOCK:
+                flush()
+            continue
         if tag in BLOCK:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" or stack[k][0] in _CLOSES.get(tag, ()):
-                    pop_to(k)
-                    break
-                if stack[k][0] in _SCOPE:
-                    break
+            k = max(last("p"), *(last(x) for x in _CLOSES.get(tag, ("p",))))
+            if k >= 0 and (not scopes or scopes[-1] <= k):
+                pop_to(k)
             flush()
         if tag == "br":
             parts.append("\n")
@@ -137,19 +198,25 @@ def scan(html: str) -> Page:
             flush()
             figure.append(len(page.media))
             page.media.append(Media(found.get("src", ""), found.get("data-digest", ""), found.get("alt", ""), len(page.blocks)))
-            if not any(t == "figure" for t, *_ in stack):
+            if not top().figure:
                 figure.clear()
         if tag in VOID:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+            end = _RAW_END[tag].search(html, at)
             at = end.end() if end else len(html)  # head's title, scripts and styles are never page text
             continue
-        _, boiler, article = top()
+        held = top()
         # a header outside the article is the site's; inside it, it holds the title
-        boiler = boiler or _is_boiler(tag, found) or (tag == "header" and not article)
-        if boiler != top()[1]:
+        boiler = held.boiler or _is_boiler(tag, found) or (tag == "header" and not held.articles)
+        if boiler != held.boiler:
             flush()  # an inline advert parts the text around it
-        stack.append((tag, boiler, article or tag in ("article", "main") or found.get("role") == "main" or found.get("itemprop") == "articleBody"))
+        articles = held.articles
+        if tag in ("article", "main") or found.get("role") == "main" or found.get("itemprop") == "articleBody":
+            articles, marks = (*articles[:MARKS], marks), marks + 1
+        places.setdefault(tag, []).append(len(stack))
+        if tag in _SCOPE:
+            scopes.append(len(stack))
+        stack.append(_Open(tag, boiler, articles, tag if tag in BLOCK else held.block, held.link or tag == "a", held.figure or tag == "figure"))
     flush()
     return page

@@ -1,4 +1,6 @@
 import html as h
+import time
+from collections import Counter
 
 import pytest
 
@@ -59,6 +61,53 @@ def test_whole_template_against_a_plain_reading(spark, sf):
         assert got[r["page_id"]] == " ".join(b for b in blocks if b)
 
 
+def test_lines_decide_without_marks(spark, sf):
+    """With marks, classes, ids and roles stripped, lines alone find the articles of the whole table."""
+    import re
+
+    total = found = kept = 0
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        whole = extract(r["html"])[0].split()
+        bare = re.sub(r"</?(?:article|main)>", "", re.sub(r' (?:class|id|role|itemprop)="[^"]*"', "", r["html"]))
+        text = extract(bare)[0].split()
+        both = sum((Counter(whole) & Counter(text)).values())
+        total, found, kept = total + len(whole), found + both, kept + len(text)
+    assert found >= 0.99 * total and found >= 0.95 * kept
+
+
+def test_the_core_chooses_among_marked_elements():
+    long = "".join(f"<p>Paragraph {i} of the story has words enough to be dense text.</p>" for i in range(5))
+    teasers = "".join(f"<article><h3>Other story {i}</h3></article>" for i in range(4))
+    assert extract(f"<main><article><h1>A</h1>{long}<p>z</p></article></main>{teasers}")[0].startswith("A Paragraph 0")
+    assert "Other" not in extract(f"<main><article><h1>A</h1>{long}</article>{teasers}</main>")[0]
+    two = f"<main><article><h1>A</h1>{long}</article><article><h1>B</h1>{long}</article></main>"
+    assert {"A", "B"} < set(extract(two)[0].split())
+    # a core that stands outside every mark is kept as it is
+    assert extract(f"<article>teaser</article>{long}")[0].endswith("Paragraph 4 of the story has words enough to be dense text.")
+
+
+def test_unquoted_and_open_attributes():
+    text = "<p title=it's>First paragraph.</p><p class='x' data-a=\"b>c\">Second one.</p>"
+    assert extract(f"<article>{text}</article>")[0] == "First paragraph. Second one."
+    assert extract("<p>a</p><p x=1 / y>b</p><p/>c<a href=http://x/y/>d</a>")[0] == "a b cd"
+    assert extract('<p>a</p><a href="never closed>b')[0] == "a"
+    assert extract("<p>kept</p><a b ")[0] == "kept"
+    assert extract("<p>1 < 2 <3 </ x </>")[0] == "1 < 2 <3 </ x </>"
+
+
+@pytest.mark.parametrize("piece", ["<a b ", "<div>", "<span>", "</b>", "<b><div></b>", "<p><b>", "<a b='", '<a b="', "<li>", "<!--", "<table><tr>", "<article>", "&", "<", "<figure><img src=x>"])
+def test_time_is_linear(piece):
+    def seconds(n):
+        html = "<b><div>" + piece * n
+        began = time.perf_counter()
+        extract(html)
+        return time.perf_counter() - began
+
+    seconds(2_000)
+    small, large = (min(seconds(n) for _ in range(3)) for n in (4_000, 32_000))
+    assert large < 30 * max(small, 0.002)
+
+
 def test_media_keep_their_place_and_caption():
     p = scan('<p>one</p><figure><img src="a.png" data-digest="d1"><figcaption>cap &amp; tion</figcaption></figure><p>two<img src=b.png alt=x>three</p>')
     assert [(m.source, m.after_blocks, m.caption) for m in p.media] == [("a.png", 1, "cap & tion"), ("b.png", 3, "")]
