@@ -12,16 +12,19 @@ Defined results: of repeated call identifiers in a conversation the first by tur
 ``duplicate``; so it is with results of one call; a result without a call, or before it, is an ``orphan``; a call whose
 dependencies are unknown or lead in a circle is ``unordered``; null texts are empty messages; null roles are "unknown";
 null conversation ids, turns or identifiers link with nothing; exact repeats of rows stay, as duplicates of the first.
+In JSON a lone surrogate is U+FFFD, in names and identifiers too; a number beyond what a double holds, and not-a-number, is
+null; a text whose JSON nests deeper than ``NESTING`` levels is a plain message with that text.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.shared import Workspace
@@ -29,6 +32,9 @@ from fieldloom.llm.text_kernel import relieved
 
 EVENT_SCHEMA = "conv_id long, turn long, place int, role string, kind string, call_id string, name string, needs array<string>, errors array<string>, json string"
 _KINDS = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None)}
+#: Levels of brackets to which a text is read as JSON.
+NESTING = 200
+_LONE = re.compile("[\ud800-\udfff]")
 #: The tool that a plain conversation is seen to call in ``as_tool_turns``.
 REPLY = "reply"
 SCHEMAS: dict[str, dict] = {
@@ -85,14 +91,44 @@ def violations(value: object, schema: Mapping, at: str = "$") -> list[str]:
     return out
 
 
+def _double(text: str) -> float | None:
+    found = float(text)
+    return found if math.isfinite(found) else None
+
+
+def _nests(text: str) -> bool:
+    """Whether brackets outside strings nest deeper than ``NESTING`` levels."""
+    depth = 0
+    for m in _BRACKETS.finditer(text):
+        depth += m[0] in "{["
+        depth -= m[0] in "}]"
+        if depth > NESTING:
+            return True
+    return False
+
+
+_BRACKETS = re.compile(r'"(?:[^"\\]|\\.)*+(?:"|\\?\Z)|[\[\]{}]', re.S)
+
+
+def _valid(value: object) -> object:
+    """The value without lone surrogates."""
+    if isinstance(value, str):
+        return _LONE.sub("\ufffd", value)
+    if isinstance(value, dict):
+        return {_valid(k): _valid(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_valid(v) for v in value]
+    return value
+
+
 def _object(text: str) -> dict | None:
-    if text[:1] != "{":
+    if text[:1] != "{" or _nests(text):
         return None
     try:
-        found = json.loads(text, parse_constant=lambda _: None)
+        found = json.loads(text, parse_constant=lambda _: None, parse_float=_double)
     except (ValueError, RecursionError):
         return None
-    return found if isinstance(found, dict) else None
+    return _valid(found) if isinstance(found, dict) else None
 
 
 def parse(turn: int | None, role: str | None, text: str | None, schemas: Mapping[str, Mapping]) -> list[tuple]:
@@ -175,9 +211,10 @@ def link(messages: DataFrame, schemas: Mapping[str, Mapping] = SCHEMAS) -> DataF
     """``conv_id, turn, place, role, kind, call_id, name, level, status, linked_turn, errors, json`` of every event."""
     work = Workspace(messages.sparkSession, "chat")
     every = work.keep(events(messages, schemas).withColumn("row", F.monotonically_increasing_id()), "events")
-    # the first of each identifier; equal keys are few a conversation, whatever its size
-    first = Window.partitionBy("conv_id", "kind", "call_id").orderBy("turn", "place", "json", "row")
-    named = every.where("kind <> 'message' and conv_id is not null and call_id is not null and turn is not null").select("row", "conv_id", "kind", "call_id", "turn", "needs", F.row_number().over(first).alias("nth"))
+    # the first of each identifier, by an aggregation: no task gathers the events of one that repeats very often
+    named = every.where("kind <> 'message' and conv_id is not null and call_id is not null and turn is not null").select("row", "conv_id", "kind", "call_id", "turn", "place", "needs", "json")
+    first = named.groupBy("conv_id", "kind", "call_id").agg(F.min(F.struct("turn", "place", "json", "row")).alias("first"))
+    named = named.join(first.select(F.col("first.row").alias("row"), F.lit(1).alias("nth")), "row", "left").select("row", "conv_id", "kind", "call_id", "turn", "needs", F.coalesce("nth", F.lit(2)).alias("nth"))
     calls = named.where("kind = 'call' and nth = 1").select("conv_id", "call_id", F.col("turn").alias("call_turn"), F.col("row").alias("call_row"), "needs")
     results = named.where("kind = 'result' and nth = 1").select("conv_id", "call_id", F.col("turn").alias("result_turn"), F.col("row").alias("result_row"))
     linked = results.join(calls, ["conv_id", "call_id"]).where("result_turn > call_turn").select("call_row", "result_row", "call_turn", "result_turn")

@@ -93,3 +93,48 @@ def test_ways_of_many_calls_with_several_needs_have_levels(spark, monkeypatch):
     rows = C.link(spark.createDataFrame(calls, "conv_id long, turn long, role string, text string")).collect()
     assert {r["call_id"]: r["level"] for r in rows} == {"c0": 0, "c1": 0, **{f"c{i}": 2 * (i - 1) for i in range(2, 7)}}
     assert "unordered" not in {r["status"] for r in rows}
+
+
+DEEP = {n: '{"tool_calls": [{"id": "d", "name": "add", "arguments": {"a": ' + "[" * n + "]" * n + "}}]}" for n in (100, 3_000, 200_000)}
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        '{"tool_calls": [{"id": "\\ud800", "name": "\\udfff", "arguments": {"\\ud83d": "\\ud83d\\ude00 \\ude00"}, "depends_on": ["\\ud800"]}]}',
+        '{"tool_calls": [{"id": "i", "name": "add", "arguments": {"a": 1e999, "b": -1e999, "c": NaN, "d": Infinity, "e": 1e-999, "f": 1e300}}]}',
+        '{"tool_calls": [{"id": "i", "name": "add", "arguments": {"a": ' + "9" * 5_000 + "}}]}",
+        '{"tool_calls": [{"id": "i", "name": "add", "arguments": "{\\"a\\": 1e999}"}]}',
+        *DEEP.values(),
+        "{" * 100_000,
+        '{"' + '\\"' * 50_000,
+        '{"a": "' + "\\",
+    ],
+)
+def test_hostile_json(spark, text):
+    """Events of any text are valid rows with valid JSON, and the job goes on."""
+    for role in ("assistant", "tool", "user"):
+        for *_, body in C.parse(0, role, text, SCHEMAS):
+            json.loads(body)
+            body.encode()
+    found = rows(spark, [(1, 0, "assistant", text), (1, 1, "tool", text), (1, 2, "tool", result("i"))])
+    assert all(json.loads(r["json"]) is not None for r in found)
+
+
+def test_defined_results_of_hostile_json():
+    (place, kind, call_id, name, needs, errors, body), *_ = C.parse(0, "assistant", '{"tool_calls": [{"id": "\\ud800", "name": "add", "arguments": {"a": 1e999, "b": ["\\udfff"]}, "depends_on": ["\\ud801x"]}]}', SCHEMAS)
+    assert (kind, call_id, needs) == ("call", "\ufffd", ["\ufffdx"]) and json.loads(body)["arguments"] == {"a": None, "b": ["\ufffd"]} and errors == ["$.a: not integer"]
+    assert C.parse(0, "assistant", DEEP[100], SCHEMAS)[0][1] == "call"
+    assert C.parse(0, "assistant", DEEP[3_000], SCHEMAS)[0][1] == "message" and json.loads(C.parse(0, "assistant", DEEP[3_000], SCHEMAS)[0][-1])["content"] == DEEP[3_000]
+
+
+def test_an_identifier_that_repeats_very_often(spark):
+    held = [(1, 0, "assistant", calls(call("x", a=1)))] + [(1, 1 + i, "tool", result("x", i)) for i in range(3_000)] + [(1, 9_000 + i, "assistant", calls(call("x", a=i))) for i in range(500)]
+    found = rows(spark, held)
+    assert [r["status"] for r in found] == ["linked", "linked", *["duplicate"] * 3_499]
+    assert found[0]["linked_turn"] == 1 and found[1]["level"] == 1
+
+
+def test_exact_repeats_of_rows(spark):
+    held = [(1, 0, "assistant", calls(call("x", a=1)))] * 2 + [(1, 1, "tool", result("x"))] * 3
+    assert sorted(r["status"] for r in rows(spark, held)) == ["duplicate"] * 3 + ["linked"] * 2
