@@ -1,12 +1,14 @@
 """License scans by ordered signature rules.
 
-Hundreds of rules are regular expressions over words, grouped in families from most to least specific (identifier tag,
-notice, versioned name, name, reference). A keyword automaton runs over each lower-cased text once; only rules whose
-keyword occurs are tried. Overlapping detections are resolved in order: a detection inside one of higher priority, or
-inside a longer one of equal priority, is suppressed. Base phrases are rules too, but every place of theirs is reported.
-
-Defined results: null, empty or wordless texts have no words and no detection; very long texts are scanned whole;
-repeated rows repeat; two rules that detect one span with equal priority yield the one that comes first.
+Rules are regular expressions over words: hand-written signatures of licence texts and notices (``license_texts``), and
+names, versions and identifier tags of licence families. A keyword automaton runs over each lower-cased text once; only
+rules whose keyword occurs are tried. Overlapping detections are resolved in order: a detection inside one of higher
+priority, or inside a longer one of equal priority, is suppressed. Base phrases are rules too, but every place of theirs is
+reported.
+
+Defined results: null, empty or wordless texts have no words and no detection; very long texts are scanned whole, in time
+linear in their length and ``n log n`` in their detections; repeated rows repeat; two rules that detect one span with equal
+priority yield the one that comes first.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from fieldloom.llm.license_texts import signatures
 from fieldloom.llm.text_kernel import ALNUM, LOWER, relieved, slices, utf8, word_spans
 
 #: Phrases whose every place counts, with their labels (fixed values).
@@ -140,6 +143,7 @@ def rules() -> list[Rule]:
         Rule("copyright", "copyright (c)? (by)? # ", "copyright", 61, 0.5),
         Rule("proprietary", "(proprietary|confidential) and (proprietary|confidential)", "proprietary", 45, 0.6),
         Rule("proprietary", "unauthorized (copying|use|reproduction|distribution) (of)? (this)? (file|material|document|software)? is? (strictly)? prohibited", "unauthorized", 45, 0.7),
+        *(Rule(label, words, keyword, priority, weight) for label, words, keyword, priority, weight in signatures()),
         Rule("licensed", "(licensed|released) under (the)? (terms)? (of)? (a|an|the|this)? (open)? (source)? license", "license", 70, 0.3),
     ]
     return out
@@ -187,12 +191,27 @@ class Scanner:
 
 
 def resolve(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
-    """Detections in page order, without those inside one of higher priority or inside a longer one of equal priority."""
+    """Detections in page order, without those inside one of higher priority or inside a longer one of equal priority.
+
+    The better come first. Containment carries over, so a detection goes where any better one, kept or not, contains it:
+    where the furthest end among those that begin at or before it, held in a tree of prefix maxima, reaches its end.
+    """
+    starts = sorted({a for a, _, _ in found})
+    place = {a: k + 1 for k, a in enumerate(starts)}
+    furthest = [-1] * (len(starts) + 1)
     kept: list[tuple[int, int, Rule]] = []
-    # the better first; a kept interval suppresses what it contains
     for a, b, rule in sorted(found, key=lambda x: (x[2].priority, x[0] - x[1], x[0])):
-        if not any(x <= a and b <= y for x, y, _ in kept):
-            kept.append((a, b, rule))
+        k, end = place[a], -1
+        while k:
+            end = max(end, furthest[k])
+            k &= k - 1
+        if end >= b:
+            continue
+        kept.append((a, b, rule))
+        k = place[a]
+        while k < len(furthest):
+            furthest[k] = max(furthest[k], b)
+            k += k & -k
     return sorted(kept, key=lambda x: x[:2])
 
 

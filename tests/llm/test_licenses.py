@@ -1,6 +1,9 @@
+import random
 import re
+import time
 
 from fieldloom.llm import license_rules as L
+from fieldloom.llm import license_texts as T
 
 from .helpers import ODD, alnum, documents, wide
 
@@ -66,3 +69,35 @@ def test_priority_and_containment():
     assert labels("CC BY-NC-SA 4.0") == ["cc-by-nc-sa-4.0"]
     a, b = L.Rule("a", "x", "x", 1, 1.0), L.Rule("b", "y", "y", 2, 1.0)
     assert L.resolve([(0, 5, b), (0, 5, a), (2, 4, b), (4, 8, b)]) == [(0, 5, a), (4, 8, b)]
+
+
+def test_resolution_by_brute_force():
+    g = random.Random(3)
+    for _ in range(200):
+        found = []
+        for k in range(g.randrange(30)):
+            a = g.randrange(12)
+            found.append((a, a + g.randrange(1, 8), L.Rule(str(k), "x", "x", g.randrange(3), 1.0)))
+        order = sorted(found, key=lambda x: (x[2].priority, x[0] - x[1], x[0]))
+        kept = [x for i, x in enumerate(order) if not any(y[0] <= x[0] and x[1] <= y[1] for y in order[:i])]
+        assert L.resolve(found) == sorted(kept, key=lambda x: x[:2])
+
+
+def test_time_is_linear_in_notices():
+    def seconds(n):
+        text = b"copyright 2020 x all rights reserved " * n
+        began = time.perf_counter()
+        L.scanner().detections(text)
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert min(seconds(8_000) for _ in range(2)) < 16 * min(seconds(1_000) for _ in range(3))
+
+
+def test_signatures_are_hand_written_sentences():
+    held = T.signatures()
+    assert len(held) >= 250 and len({words for _, words, *_ in held}) == len(held)
+    assert labels("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.")[0] in ("isc", "0bsd", "curl")
+    assert "agpl-3" in labels("Your modified version must prominently offer all users interacting with it remotely through a computer network (if ...)")
+    assert labels("The Software shall be used for Good, not Evil.") == ["json"]
+    assert labels("Alle Rechte vorbehalten") == ["reserved-long"]
