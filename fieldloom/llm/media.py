@@ -4,8 +4,10 @@ An HTML document is parsed to an ordered sequence of text blocks and media refer
 digest. Payloads are stored once a digest, as 8-bit greyscale PNG images in a Parquet table in the shared folder, and a
 join by digest resolves the references. Positions say where text and media stand, and captions stay with their media.
 
-``text_media`` applies this to a text table: the padded UTF-8 bytes of each text are the samples of an image, which an
-HTML document refers to. Features are computed from the bytes as they are read back.
+``text_media`` applies this to a text table: the padded UTF-8 bytes of each text are the samples of an image. The text's
+lines are the paragraphs of an HTML document, which refers to the image after the first half of them; parsing it gives the
+sequence of paragraphs and image, in which the image's position, its caption and the characters before it are reported.
+Features are computed from the bytes as they are read back.
 
 Defined results: a null or empty text is one row of padding; equal texts share one stored image; repeated rows repeat; a
 reference whose digest isn't stored resolves to nulls; an empty table gives empty results.
@@ -38,6 +40,7 @@ LEVEL = 1
 OUT_BYTES = 8_000_000
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 ITEM = "position int, kind string, text string, source string, digest string, caption string"
+DOCUMENT_SCHEMA = "doc_id long, n_bytes long, position int, n_items int, chars_before long, caption string, digest string, media binary"
 STORE_SCHEMA = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -155,12 +158,23 @@ def resolve(items: DataFrame, features: DataFrame) -> DataFrame:
     return items.join(features, "digest", "left")
 
 
+def document(text: str, name: str, n_bytes: int) -> str:
+    """The HTML of a text: a paragraph for each line that isn't blank, and the figure after the first half of them."""
+    lines = [escape(x, False) for x in text.split("\n") if x and not x.isspace()]
+    half = (len(lines) + 1) // 2
+    figure = f'<figure><img src="sha256:{name}" data-digest="{name}" alt="text bytes"><figcaption>{n_bytes} bytes</figcaption></figure>'
+    return f"<article>{''.join(f'<p>{x}</p>' for x in lines[:half])}{figure}{''.join(f'<p>{x}</p>' for x in lines[half:])}</article>"
+
+
 def _documents(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, html, digest, media``: the media are null where the task has stored them already."""
+    """The media item of each document's sequence, with the image where the task hasn't stored it already.
+
+    The sequence is parsed where the document is made, as its text stands in the input already.
+    """
+    names = [x.split()[0] for x in DOCUMENT_SCHEMA.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "html", "digest", "media"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
         known: set[bytes] = set()
         rows: list[tuple] = []
         held = 0
@@ -172,10 +186,13 @@ def _documents(docs: DataFrame) -> DataFrame:
                 sha = hashlib.sha256(media)
                 new = sha.digest() not in known
                 known.add(sha.digest())
-                name = sha.hexdigest()
-                title = escape(data[a : min(b, a + 400)].decode(errors="ignore").split("\n")[0][:80])
-                html = f'<article><h1>{title}</h1><figure><img src="sha256:{name}" data-digest="{name}" alt="text bytes"><figcaption>{b - a} bytes</figcaption></figure></article>'
-                rows.append((doc_id, b - a, html, name, media if new else None))
+                items = interleaved(document(data[a:b].decode(errors="replace"), sha.hexdigest(), b - a))
+                before = 0
+                for item in items:
+                    if item["kind"] == "media":
+                        rows.append((doc_id, b - a, item["position"], len(items), before, item["caption"], item["digest"], media if new else None))
+                        break
+                    before += len(item["text"])
                 held += len(media) if new else 0
                 if held >= OUT_BYTES or len(rows) >= 10_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -185,17 +202,19 @@ def _documents(docs: DataFrame) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(relieved(run), "doc_id long, n_bytes long, html string, digest string, media binary")
+    return docs.select("doc_id", "text").mapInArrow(relieved(run), DOCUMENT_SCHEMA)
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """The stored image of each row of ``docs(doc_id, text)`` and its features, through an interleaved document."""
+    """The stored image of each row of ``docs(doc_id, text)`` and its features, through an interleaved document.
+
+    ``position`` is the image's place in the sequence of ``n_items`` paragraphs and image, ``chars_before`` the characters
+    of the paragraphs before it, their white space collapsed.
+    """
     work = Workspace(docs.sparkSession, "media")
     written = work.keep(_documents(docs), "documents")
-    entries = written.select(F.struct("doc_id", "n_bytes").alias("entry"), "html")
-    items = sequences(entries, "entry", "html").where("kind = 'media'")
     store = written.where("media is not null").select("digest", "media")
     features = work.keep(stored_features(store), "features")
-    return resolve(items, features).select(
-        "entry.doc_id", "entry.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption"
+    return resolve(written.drop("media"), features).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "n_items", "chars_before", "caption"
     )

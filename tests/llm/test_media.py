@@ -20,7 +20,7 @@ def test_images_are_lossless():
 
 
 def test_contract(spark):
-    texts = [*ODD, "same", "same", "é" * 288]
+    texts = [*ODD, "one & <b>two</b>\n\n  three\tfour \n&amp; five\n<!-- six", "same", "same", "é" * 288]
     frame = wide(documents(spark, texts))
     rows = {r["doc_id"]: r for r in M.text_media(frame).collect()}
     assert len(rows) == len(texts)
@@ -31,7 +31,10 @@ def test_contract(spark):
         image = M.to_png(payload)
         assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(image), hashlib.sha256(image).hexdigest(), M.features(M.from_png(image)))
         assert r["caption"] == f"{len(data)} bytes"
-    same = [tuple(rows[len(ODD) + k])[1:] for k in (0, 1)]
+        lines = [" ".join(x.split()) for x in (t or "").split("\n") if x.strip()]
+        half = (len(lines) + 1) // 2
+        assert (r["position"], r["n_items"], r["chars_before"]) == (half, len(lines) + 1, sum(map(len, lines[:half])))
+    same = [tuple(rows[len(ODD) + 1 + k])[1:] for k in (0, 1)]
     assert same[0] == same[1]
     assert M.text_media(frame.limit(0)).count() == 0
     assert M.text_media(frame.union(frame)).count() == 2 * len(texts)
