@@ -7,11 +7,12 @@ count where the whole window occurs in an item. Items of fewer than ``SPAN`` wor
 fingerprinted by that window's hash.
 
 Two plans give the same rows. While the benchmark's windows are counted and few (``BROADCAST_WINDOWS``), its sorted
-hashes go to every task and documents aren't shuffled. Beyond, the winnowed fingerprints of the documents are joined with
-the benchmark's, and only documents with a hit meet the windows of the items they may hold.
+hashes go to every task and documents aren't shuffled. Beyond, the winnowed fingerprints of the documents pass a bitmap of
+the benchmark's, those that do are joined with it, and only they meet the windows of the items they may hold.
 
 Defined results: null, empty or wordless texts have no words and no hit, and such items no window; documents that repeat
-are reported as often; items that repeat an id are one item; an empty benchmark leaves every document clean.
+are reported as often; items that repeat an id are one item; items without an id are together one item that hits words and
+counts in ``n_items`` but has no name in ``items_sha256``; an empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.shared import Workspace
+from fieldloom.llm.shared import Workspace, bitmap, in_bitmap
 from fieldloom.llm.text_kernel import ALNUM, mix, ngram_hashes, relieved, signed, slices, utf8, word_hashes, word_spans
 
 SPAN = 10
@@ -74,7 +75,7 @@ def benchmark_windows(items: DataFrame, span: int = SPAN, gram: int = GRAM) -> D
                 rows: list[tuple[str, int, int, int]] = []
                 for k in range(lo, hi):
                     own = words[first[k - lo] : first[k - lo + 1]]
-                    if not len(own) or names[k] is None:
+                    if not len(own):
                         continue
                     length = min(span, len(own))
                     window = ngram_hashes(own, length)[: len(own) - length + 1]
@@ -98,7 +99,7 @@ class WindowIndex:
     gram: int
     prints: np.ndarray
     windows: dict[int, np.ndarray]
-    items: dict[int, dict[int, tuple[str, ...]]]
+    items: dict[int, dict[int, tuple[str | None, ...]]]
 
     @classmethod
     def of(cls, rows: list[tuple[str, int, int, int]], span: int, gram: int) -> WindowIndex:
@@ -107,7 +108,7 @@ class WindowIndex:
             items.setdefault(length, {}).setdefault(window, []).append(name)
         prints = np.unique(np.array([p for _, length, _, p in rows if length == span], np.int64))
         windows = {length: np.array(sorted(x), np.int64) for length, x in items.items()}
-        return cls(span, gram, prints, windows, {k: {w: tuple(sorted(set(n))) for w, n in x.items()} for k, x in items.items()})
+        return cls(span, gram, prints, windows, {k: {w: tuple(set(n)) for w, n in x.items()} for k, x in items.items()})
 
 
 def _among(values: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -159,8 +160,8 @@ def find(words: np.ndarray, first: np.ndarray, index: WindowIndex) -> tuple[np.n
     return np.cumsum(hit[:n]) > 0, places
 
 
-def digest(names: set[str]) -> str:
-    return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+def digest(names: set[str | None]) -> str:
+    return hashlib.sha256(",".join(sorted(names - {None})).encode()).hexdigest()
 
 
 _CLEAN = digest(set())
@@ -208,6 +209,7 @@ def _by_join(docs: DataFrame, windows: DataFrame, span: int, gram: int) -> DataF
     candidate windows (the hash of each window around the hit), which are joined with the benchmark's windows.
     """
     lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # span of them at most
+    held = docs.sparkSession.sparkContext.broadcast({n: bitmap(windows.where(F.col("length") == n).select("print").distinct(), "print") for n in lengths})
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,6 +219,8 @@ def _by_join(docs: DataFrame, windows: DataFrame, span: int, gram: int) -> DataF
                 for length in lengths:
                     if length == span:
                         at, prints = _doc_prints(words, rest, span, gram)
+                        known = in_bitmap(prints, held.value[length])
+                        at, prints = at[known], prints[known]
                         around = at[:, None] - np.arange(span - gram + 1)[None, :]
                         prints, at = np.broadcast_to(prints[:, None], around.shape).ravel(), around.ravel()
                         ok = (at >= 0) & (rest[np.maximum(at, 0)] >= length)
@@ -224,7 +228,10 @@ def _by_join(docs: DataFrame, windows: DataFrame, span: int, gram: int) -> DataF
                         hashes = signed(ngram_hashes(words, length))[at]
                     else:
                         at = np.flatnonzero(rest >= length)
-                        hashes = prints = signed(ngram_hashes(words, length))[at]
+                        prints = signed(ngram_hashes(words, length))[at]
+                        known = in_bitmap(prints, held.value[length])
+                        at, hashes = at[known], prints[known]
+                        prints = hashes
                     owner = np.searchsorted(first, at, "right") - 1
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(ids[lo:hi][owner]), pa.array(at - first[owner]), pa.array(np.full(len(at), length), pa.int32()), pa.array(hashes), pa.array(prints)], ["row", "at", "length", "window", "print"]
@@ -241,7 +248,7 @@ def _by_join(docs: DataFrame, windows: DataFrame, span: int, gram: int) -> DataF
     met = found.join(windows.select("length", "print").distinct(), ["length", "print"], "left_semi").select("row", "at", "length", "window").distinct()
     met = met.join(windows.select("item_id", "length", "window"), ["length", "window"])
     hits = met.select("row", "item_id", F.explode(F.sequence("at", F.col("at") + F.col("length") - 1)).alias("word"))
-    per = hits.groupBy("row").agg(F.countDistinct("word").alias("n_hit"), F.array_join(F.array_sort(F.collect_set("item_id")), ",").alias("names"), F.countDistinct("item_id").alias("n_items"))
+    per = hits.groupBy("row").agg(F.countDistinct("word").alias("n_hit"), F.array_join(F.array_sort(F.collect_set("item_id")), ",").alias("names"), (F.countDistinct("item_id") + F.max(F.col("item_id").isNull().cast("int"))).alias("n_items"))
     return (
         numbered.mapInArrow(relieved(totals), "row long, doc_id long, n_words long")
         .join(per, "row", "left")
