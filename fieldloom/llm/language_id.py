@@ -1,11 +1,17 @@
 """Language identification by cross-parsing entropy.
 
 A bounded sample of labelled text of each language is indexed by a suffix automaton. A text is cut into the longest
-phrases that occur in a language's sample (greedily, from left to right); with c phrases over n symbols and a sample of
-m symbols, ``c log2(m) / n`` estimates the cross entropy, and the language that needs fewest normalised phrases wins.
+phrases that occur in a language's sample (greedily, from left to right, over the whole text); with c phrases over n
+symbols and a sample of m symbols, ``c log2(m) / n`` estimates the cross entropy, and the language that needs fewest
+normalised phrases wins.
 
-Texts are lower-cased; every run of other characters than letters is one space. A long text is parsed in segments of
-``SEGMENT`` symbols, all of them, so that many segments step through the automata's transition tables together.
+Texts are lower-cased; every run of other characters than letters is one space. Each letter of the samples has its own
+symbols: the most frequent ``LETTERS`` one each, the others a code of several. The texts of a batch step through the
+automata's transition tables together; the last few long ones are finished one by one.
+
+The sample is drawn over distinct texts, so copies neither crowd it nor leave it empty: of each language the texts with
+the least hashes, of each a stretch that begins at a place given by the hash. With many languages each gets less, so that
+all together stay within ``SAMPLE_TOTAL`` symbols; no language is left out.
 
 Defined results: ``und`` with score 0 for a null or empty text, one without letters, or when nothing was learned; ties go
 to the first language by name; repeated rows repeat; rows with null text or lang, or null doc_id, aren't learned from.
@@ -20,22 +26,26 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.llm.shared import Workspace
 from fieldloom.llm.text_kernel import relieved, slices, utf8
 
-#: Bounds of the sample that the classifier is fitted on: labelled rows a language, characters of each, symbols a language.
+#: Bounds of the sample that the classifier is fitted on: texts a language and in all, characters of each text, symbols a
+#: language and in all.
 SAMPLE_ROWS = 150
+SAMPLE_ROWS_TOTAL = 20_000
 SAMPLE_CHARS = 1_500
 SAMPLE_SYMBOLS = 40_000
-#: Languages that are learned at most, the most frequent first.
-LANGUAGES = 200
-#: Letters that have a symbol of their own, the most frequent of the sample first; others match nowhere.
+SAMPLE_TOTAL = 400_000
+#: Letters that have one symbol each, the most frequent of the samples; of the others' codes, the values of a place.
 LETTERS = 200
-SEGMENT = 512
-#: Characters that are parsed at a time.
-BATCH_CHARS = 2_000_000
+DIGITS = 16
+#: Texts that still step together; fewer are finished one by one.
+TOGETHER = 16
+#: Bytes of text that are parsed at a time.
+BATCH_CHARS = 4_000_000
 UNKNOWN = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -111,15 +121,23 @@ class Classifier:
         """``samples``: normalised text of each language."""
         self.names = sorted(k for k, x in samples.items() if x.strip())
         frequent = Counter(c for k in self.names for c in samples[k] if c != " ").most_common()
-        letters = [c for c, _ in sorted(frequent, key=lambda x: (-x[1], x[0]))[:LETTERS]]
+        letters = [ord(c) for c, _ in sorted(frequent, key=lambda x: (-x[1], x[0]))]
+        own, rare = letters[:LETTERS], letters[LETTERS:]
         self.symbol = np.zeros(0x110000, np.uint8)  # 0: matches nowhere
         self.symbol[0x20] = 1
-        self.symbol[[ord(c) for c in letters]] = np.arange(2, len(letters) + 2)
-        self.width = len(letters) + 2
+        self.symbol[own] = np.arange(2, len(own) + 2)
+        self.base, self.digits = len(own) + 2, 0
+        self.width = self.base
+        if rare:  # a first digit has other symbols than those after it, so a code never begins within another
+            self.digits, self.width = 1, self.base + 2 * DIGITS
+            while DIGITS**self.digits < len(rare):
+                self.digits += 1
+            self.order = np.full(0x110000, -1, np.int32)
+            self.order[rare] = np.arange(len(rare))
         tables, self.begin, self.bits = [], [], []
         for name in self.names:
-            codes = np.frombuffer(samples[name][:SAMPLE_SYMBOLS].encode("utf-32-le"), np.uint32)
-            symbols = self.symbol[codes]
+            codes = np.frombuffer(samples[name].encode("utf-32-le"), np.uint32)
+            symbols, _ = self.symbols(codes, np.array([0, len(codes)]))
             tables.append(Automaton(symbols.tolist()).table(self.width))
             tables[-1][:, 0] = 0
             self.begin.append(sum(len(t) for t in tables[:-1]))
@@ -128,32 +146,52 @@ class Classifier:
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.root = np.array(self.begin, np.int64) * self.width
 
+    def symbols(self, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of lower-case letters and spaces, and the offsets among them."""
+        out = self.symbol[codes]
+        if not self.digits:
+            return out, offsets
+        order = self.order[codes]
+        rare = order >= 0
+        size = np.where(rare, self.digits, 1)
+        begin = np.concatenate([[0], np.cumsum(size)])
+        out, at, number = np.repeat(out, size), begin[:-1][rare], order[rare]
+        for j in range(self.digits):
+            out[at + j] = self.base + number // DIGITS ** (self.digits - 1 - j) % DIGITS + (DIGITS if j else 0)
+        return out, begin[offsets]
+
     def phrases(self, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases that each text needs in each language: an array of texts by languages."""
-        lengths = np.diff(offsets)
-        pieces = -(-lengths // SEGMENT)
-        owner = np.repeat(np.arange(len(lengths)), pieces)
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin = offsets[:-1][owner] + place * SEGMENT
-        size = np.minimum(SEGMENT, offsets[1:][owner] - begin)
+        size = np.diff(offsets)
         order = np.argsort(-size, kind="stable")
-        owner, begin, size = owner[order], begin[order], size[order]
-        live = np.searchsorted(-size, -np.arange(SEGMENT), "left")  # segments longer than t
+        begin, size = offsets[:-1][order], size[order]
         root = self.root[:, None]
-        state = np.zeros((len(self.names), len(owner)), np.int64)
-        count = np.zeros((len(self.names), len(owner)), np.int32)
-        for t in range(SEGMENT):
-            n = int(live[t])
-            if not n:
-                break
+        state = np.zeros((len(self.names), len(size)), np.int64)
+        count = np.zeros((len(self.names), len(size)), np.int64)
+        t, n = 0, int((size > 0).sum())
+        while n > TOGETHER:
             symbol = symbols[begin[:n] + t].astype(np.int64)[None, :]
             to = self.table[root + state[:, :n] * self.width + symbol]
             miss = to == 0
             count[:, :n] += miss
             state[:, :n] = np.where(miss, self.table[root + symbol], to)
-        out = np.zeros((len(lengths), len(self.names)), np.int64)
-        for k in range(len(self.names)):
-            out[:, k] = np.bincount(owner, count[k] + 1, minlength=len(lengths))
+            t += 1
+            while n and size[n - 1] <= t:
+                n -= 1
+        table, width = memoryview(self.table), self.width
+        for k in range(n):
+            rest = symbols[begin[k] + t : begin[k] + size[k]].tobytes()
+            for j, first in enumerate(self.root.tolist()):
+                now, found = int(state[j, k]), 0
+                for s in rest:
+                    to = table[first + now * width + s]
+                    if not to:
+                        found += 1
+                        to = table[first + s]
+                    now = to
+                count[j, k] += found
+        out = np.zeros((len(size), len(self.names)), np.int64)
+        out[order] = (count + (size > 0)).T
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
@@ -168,8 +206,8 @@ class Classifier:
         keep = _kept(low == 0x20)
         keep[offsets[:-1]] = True  # whatever text stands before
         kept = np.concatenate([[0], np.cumsum(keep)])
-        offsets = kept[offsets]
-        cost = self.phrases(self.symbol[low[keep]], offsets) * np.array(self.bits) / np.maximum(1, np.diff(offsets))[:, None]
+        symbols, offsets = self.symbols(low[keep], kept[offsets])
+        cost = self.phrases(symbols, offsets) * np.array(self.bits) / np.maximum(1, np.diff(offsets))[:, None]
         best = cost.argmin(1)
         low_cost = cost.min(1)
         cost[np.arange(len(best)), best] = np.inf
@@ -183,20 +221,24 @@ def held_out() -> Column:
 
 
 def training_samples(docs: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """Normalised text of a bounded sample of the labelled rows of each language, picked by a hash of id and text."""
-    labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    """Normalised text of a bounded sample of the distinct labelled texts of each language, picked by a hash of the text."""
+    spark, work = docs.sparkSession, Workspace(docs.sparkSession, "language-sample")
+    labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("lang", "text", F.xxhash64("text").alias("place"))
+    texts = work.keep(labelled.select("lang", "place").distinct(), "texts")
+    languages = texts.select("lang").distinct().count()
+    if not languages:
         return {}
-    spark = docs.sparkSession
-    # twice the rows that are wanted pass the threshold, on average; the least hashes of them are taken
-    share = spark.createDataFrame([(r["lang"], min(1.0, 2.0 * rows / r["n"])) for r in counts], "lang string, share double")
-    place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / float(1 << 53)
-    picked = labelled.select("lang", "doc_id", "text", place.alias("place")).join(F.broadcast(share), "lang").where("place < share")
-    found: dict[str, list[tuple[float, str]]] = {}
-    for r in picked.select("lang", "place", F.substring("text", 1, chars).alias("text")).toLocalIterator():
+    rows = max(1, min(rows, SAMPLE_ROWS_TOTAL // languages))
+    symbols = max(200, min(SAMPLE_SYMBOLS, SAMPLE_TOTAL // languages))
+    least = texts.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).where(F.col("nth") <= rows).select("lang", "place")
+    picked = spark.createDataFrame([tuple(r) for r in least.collect()], "lang string, place long")  # rows * languages at most
+    begin = F.pmod("place", F.greatest(F.length("text") - chars + 1, F.lit(1))).cast("int") + 1
+    stretch = labelled.join(F.broadcast(picked), ["lang", "place"]).groupBy("lang", "place").agg(F.min(F.substring("text", begin, F.lit(chars))).alias("text"))
+    found: dict[str, list[tuple[int, str]]] = {}
+    for r in stretch.toLocalIterator():
         found.setdefault(r["lang"], []).append((r["place"], r["text"]))
-    return {lang: " ".join(normalise(t) for _, t in sorted(x)[:rows])[:SAMPLE_SYMBOLS] for lang, x in found.items()}
+    work.drop()
+    return {lang: " ".join(normalise(t) for _, t in sorted(x))[:symbols] for lang, x in found.items()}
 
 
 @lru_cache(maxsize=1)
@@ -206,7 +248,7 @@ def _classifier(samples: tuple[tuple[str, str], ...]) -> Classifier:
 
 def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` of each row, from its text alone."""
-    held = docs.sparkSession.sparkContext.broadcast(tuple(sorted(samples.items())))  # LANGUAGES * SAMPLE_SYMBOLS characters at most
+    held = docs.sparkSession.sparkContext.broadcast(tuple(sorted(samples.items())))  # SAMPLE_TOTAL characters, or 200 a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _classifier(held.value)

@@ -35,9 +35,9 @@ def test_automaton_accepts_substrings_and_phrases_are_greedy(sample, text):
             held += c
         else:
             count, held = count + 1, c if c in sample else ""
-    codes = model.symbol[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+    codes, offsets = model.symbols(np.frombuffer(text.encode("utf-32-le"), np.uint32), np.array([0, len(text)]))
     if text:
-        assert model.phrases(codes, np.array([0, len(text)]))[0, 0] == count
+        assert model.phrases(codes, offsets)[0, 0] == count
 
 
 def test_prediction_ignores_the_batch(spark):
@@ -67,3 +67,52 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = L.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").selectExpr("avg(cast(lang = lang_pred as int)) as a", "count(*) as n").first()
     assert found["a"] >= 0.97 and found["n"] > 200
+
+
+def greedy(sample, text):
+    count, held = 1, ""
+    for c in text:
+        if held + c in sample:
+            held += c
+        else:
+            count, held = count + 1, c if c in sample else ""
+    return count
+
+
+def test_long_texts_are_parsed_whole():
+    """No phrase is added inside a long text, whether it steps with others or is finished alone."""
+    g = random.Random(4)
+    words = ["lorem", "ipsum", "dolor", "sit", "amet"]
+    sample = " ".join(g.choice(words) for _ in range(300))
+    texts = [" ".join(g.choice([*words, "xyz", "rol"]) for _ in range(n)) for n in [900, 400, 1, 2, *range(3, 60)]]
+    model = L.Classifier({"x": sample})
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    symbols, offsets = model.symbols(codes, np.cumsum([0, *map(len, texts)]))
+    assert model.phrases(symbols, offsets)[:, 0].tolist() == [greedy(sample, t) for t in texts]
+
+
+def test_two_scripts_of_many_letters():
+    """Every letter of the samples counts, far beyond those that have a symbol of their own."""
+    g = random.Random(2)
+    scripts = {"aa": [chr(0x4E00 + i) for i in range(3000)], "bb": [chr(0xAC00 + i) for i in range(3000)], "cc": [chr(0x4E00 + 3000 + i) for i in range(3000)]}
+    model = L.Classifier({k: " ".join("".join(g.choices(v, k=5)) for _ in range(4000)) for k, v in scripts.items()})
+    texts = [(k, " ".join("".join(g.choices(v, k=4)) for _ in range(12))) for k, v in scripts.items() for _ in range(60)]
+    names, _ = L.predict_column(model, pa.array([t for _, t in texts]))
+    assert names == [k for k, _ in texts]
+
+
+def test_repeated_labelled_rows(spark):
+    """A language of one text, repeated, is learned as well as others, and its copies bring no more than one text."""
+    texts = {"en": "the house by the river", "fr": "la maison près de la rivière", "de": "das Haus am Fluss", "es": "la casa junto al río"}
+    rows = [(i, texts[k], k) for i, k in enumerate(k for k in texts for _ in range(400))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    samples = L.training_samples(docs, ~L.held_out())
+    assert samples == {k: L.normalise(t) for k, t in texts.items()}
+    found = L.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id")
+    assert found.where("lang <> lang_pred").count() == 0
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{'abcdefghij'[i // 30]}{'klmnopqrst'[i % 10]}{'uvwxyz'[i % 6]} " * 5, f"l{i:03}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(L.training_samples(docs, L.F.lit(True))) == 300
