@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.staging import Workspace
+
 
 def dense(rows: DataFrame, axes: Sequence[DataFrame], values: Sequence[str]) -> DataFrame:
     """Every combination of the axes' labels, with NULL values where there is no row; a repeated key fails the query."""
@@ -30,18 +32,27 @@ def static_values(rows: DataFrame, keys: Sequence[str], values: Sequence[str]) -
     return found.where(ok).select(*keys, *values)
 
 
+def in_ranges(frame: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The rows dealt by ranges of an order, with their range ``__part`` and their place ``__at`` in it, written once.
+
+    Ranges are drawn by sampling, so dealing the rows a second time may cut them elsewhere; what needs the sums of the ranges
+    and the rows must read both from here.
+    """
+    dealt = frame.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.monotonically_increasing_id().alias("__id"))
+    placed = dealt.withColumns({"__part": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))})
+    return Workspace(frame.sparkSession, "ranges").keep(placed.drop("__id"), "rows")
+
+
 def numbered(frame: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """Rows with their place, from 0, in a global order, without gathering them in one task.
 
     Rows are dealt by ranges of the order; a row's place is its place in its part and the rows of the parts before.
     """
-    parts = frame.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
-    parts = parts.withColumn("__part", F.shiftright("__id", 33))
+    parts = in_ranges(frame, order)
     sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
     starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    place = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__start")
-    return parts.join(F.broadcast(starts), "__part").withColumn(name, place.cast("long")).drop("__id", "__part", "__start")
+    return parts.join(F.broadcast(starts), "__part").withColumn(name, (F.col("__at") + F.col("__start")).cast("long")).drop("__part", "__at", "__start")
 
 
 def stack(frame: DataFrame, dims: Sequence[str], name: str) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.operators.reshape import in_ranges
+
 
 def effective_sizes(rows: DataFrame, keys: Sequence[str], log_weight: str, log_ratio: str, increment: float) -> DataFrame:
     """Effective size of the weights and conditional effective size of an increment, in logs and two passes.
@@ -33,12 +35,12 @@ def systematic_resample(rows: DataFrame, order: str, weight: str, n: int, u: flo
     Weights are cumulated in ranges of the order, then within each range, so no task holds the population. Each row then
     makes its own draws, a sequence, rather than being joined with all of them.
     """
-    parts = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
+    parts = in_ranges(rows, [order])
     sums = parts.groupBy("__part").agg(F.sum(weight).alias("__sum"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     starts = sums.select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0.0)).alias("__start"), F.sum("__sum").over(every).alias("__total"))
-    within = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
     high = (F.col("__start") + F.sum(weight).over(within)) / F.col("__total")
     placed = parts.join(F.broadcast(starts), "__part").withColumn("__hi", high).withColumn("__lo", F.col("__hi") - F.col(weight) / F.col("__total"))
     first, last = F.greatest(F.ceil(F.col("__lo") * n - u), F.lit(0)), F.least(F.ceil(F.col("__hi") * n - u) - 1, F.lit(n - 1))
@@ -63,6 +65,15 @@ def log_moments(rows: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.exp(F.avg(x)).alias("median"), F.exp(F.stddev_pop(x)).alias("geometric_sd"))
 
 
+def logit_moments(rows: DataFrame, keys: Sequence[str], column: str, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """Median and deviation of the logit of the logit-normal of greatest likelihood; a value outside the interval fails."""
+    x = F.col(column)
+    inside = F.when(~((x > low) & (x < high)), F.raise_error(F.lit("a sample lies outside the support"))).otherwise(x)
+    t = F.log((inside - low) / (high - inside))
+    center = F.avg(t)
+    return rows.groupBy(*keys).agg((low + (high - low) / (1 + F.exp(-center))).alias("median"), F.stddev_pop(t).alias("logit_sd"))
+
+
 def scale_update(residuals: DataFrame, keys: Sequence[str], residual: str, variance: Column, a: float, b: float) -> DataFrame:
     """Inverse-gamma parameters of each group's variance factor given its residuals; one without keeps the prior."""
     q = F.sum(F.col(residual) * F.col(residual) / variance)
