@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from fieldloom.queries import ORACLE, QUERIES, analysis, ensembles, inference, quality, relations, space, time
+from fieldloom.queries import ORACLE, QUERIES, analysis, ensembles, files, inference, quality, relations, space, time
 
 __all__ = ["ORACLE", "QUERIES"]
 
-_MODULES = (time, relations, ensembles, analysis, space, quality, inference)
+_MODULES = (time, relations, ensembles, analysis, space, quality, inference, files)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -75,6 +76,34 @@ FULLSET = r"AMF_([^_/]+)_FLUXNET_FULLSET_(HH|HR)_(\d{4})-(\d{4})_([^/]+)\.csv$"
 FILL = -9999.0
 
 
+#: What writers of local paths don't agree on.
+_SLASHES = r"^([A-Za-z0-9]+):/+"
+#: Files whose headers are read to the driver at most (some kilobytes each).
+HEADERS = 20_000
+
+
+def _first_lines(spark: SparkSession, root: str, glob: str) -> list[tuple[str, str]]:
+    """Path and first line of every file below a folder whose name fits; more than ``HEADERS`` are refused."""
+    import fnmatch
+
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(root)
+    files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, listing = [], files.listFiles(top, True)
+    while listing.hasNext():
+        path = listing.next().getPath()
+        if not fnmatch.fnmatch(path.getName(), glob):
+            continue
+        if len(found) >= HEADERS:
+            raise ValueError(f"{root} holds more than {HEADERS} files; scan its parts")
+        reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(files.open(path), "UTF-8"))
+        try:
+            found.append((re.sub(_SLASHES, r"\1:/", path.toUri().toString()), reader.readLine() or ""))
+        finally:
+            reader.close()
+    return found
+
+
 def fullset(spark: SparkSession, root: str, estimates: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
     """Steps of all half-hourly and hourly tower files below a folder, on their regular axes.
 
@@ -82,10 +111,10 @@ def fullset(spark: SparkSession, root: str, estimates: Sequence[str], extra: Seq
     missing. Steps must be whole and follow each other without a gap, which ``operators.checks.gaps_in_stamps`` reports.
     """
     wanted = [*(c for e in estimates for c in (f"NEE_{e}", f"NEE_{e}_QC", f"NEE_{e}_RANDUNC", f"NEE_{e}_JOINTUNC")), *extra]
-    lines = spark.read.options(recursiveFileLookup=True, pathGlobFilter="AMF_*_FLUXNET_FULLSET_*.csv").text(root).select(F.col("_metadata.file_path").alias("file"), "value")
-    head = lines.where(F.col("value").startswith("TIMESTAMP_START")).select("file", F.split("value", ",").alias("header"))
+    lines = spark.read.options(recursiveFileLookup=True, pathGlobFilter="AMF_*_FLUXNET_FULLSET_*.csv").text(root).select(F.regexp_replace("_metadata.file_path", _SLASHES, "$1:/").alias("file"), "value")
+    head = spark.createDataFrame(_first_lines(spark, root, "AMF_*_FLUXNET_FULLSET_*.csv"), "file string, header string").select("file", F.split("header", ",").alias("header"))
     rows = lines.where(~F.col("value").startswith("TIMESTAMP_START") & (F.trim("value") != "")).select("file", F.split("value", ",").alias("cells"))
-    joined = rows.join(head, "file")
+    joined = rows.join(F.broadcast(head), "file")  # HEADERS files at most
 
     def number(name: str) -> Column:
         place = F.array_position("header", name)
@@ -260,8 +289,18 @@ def parse_points(shape: bytes, table: bytes, encoding: str) -> list[dict[str, ob
     return rows
 
 
+#: Bytes of a shapefile that the driver reads at most.
+SHAPE_BYTES = 64 << 20
+
+
 def shapefile_points(spark: SparkSession, path: str, columns: Sequence[tuple[str, str]], encoding: str = "utf-8") -> DataFrame:
-    """``x, y`` and attributes of the points of one shapefile (its ``.shp`` and ``.dbf``), in their order."""
+    """``x, y`` and attributes of the points of one shapefile (its ``.shp`` and ``.dbf``), in their order.
+
+    The format is read as a whole; a shapefile has two gigabytes at most, and one above ``SHAPE_BYTES`` is refused.
+    """
+    sizes = spark.read.format("binaryFile").load([f"{path}.shp", f"{path}.dbf"]).agg(F.sum("length")).first()[0]
+    if sizes > SHAPE_BYTES:
+        raise ValueError(f"{path} has {sizes} bytes, more than {SHAPE_BYTES}")
     held = {r["path"].rsplit(".", 1)[1].lower(): bytes(r["content"]) for r in spark.read.format("binaryFile").load([f"{path}.shp", f"{path}.dbf"]).select("path", "content").collect()}
     rows = [(i, r["x"], r["y"], *(r[c] for c, _ in columns)) for i, r in enumerate(parse_points(held["shp"], held["dbf"], encoding))]
     return spark.createDataFrame(rows, ", ".join(["position int", "x double", "y double", *(f"`{c}` {t}" for c, t in columns)]))

@@ -40,6 +40,32 @@ def checked_write(frames: Mapping[str, DataFrame], partition_by: Mapping[str, Se
             raise OSError(f"{part} couldn't be renamed to {path}")
 
 
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """One small file of the driver's, in whatever store the path names."""
+    files, to = _path(spark, path)
+    out = files.create(to, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def netcdf3(values: Mapping[str, float], fill: float) -> bytes:
+    """A classic netCDF file of scalars, each with its fill value, by the published layout."""
+    import struct
+
+    def text(x: str) -> bytes:
+        data = x.encode()
+        return struct.pack(">i", len(data)) + data + bytes(-len(data) % 4)
+
+    attribute = struct.pack(">ii", 12, 1) + text("_FillValue") + struct.pack(">iid", 6, 1, fill)
+    head = b"CDF\x01" + struct.pack(">i", 0) + struct.pack(">ii", 10, 1) + text("time") + struct.pack(">i", 1) + bytes(8)
+    heads = [text(n) + struct.pack(">ii", 1, 0) + attribute + struct.pack(">ii", 6, 8) for n in values]
+    begin = len(head) + 8 + sum(len(h) + 4 for h in heads)
+    body = b"".join(h + struct.pack(">i", begin + 8 * i) for i, h in enumerate(heads))
+    return head + struct.pack(">ii", 11, len(heads)) + body + b"".join(struct.pack(">d", v) for v in values.values())
+
+
 def digests(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """Size and md5 of each file below a folder."""
     files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=pattern).load(root)
