@@ -112,16 +112,26 @@ def exponential_filter(rows: DataFrame, keys: Sequence[str], order: Sequence[str
     schema = rows.schema.simpleString()[len("struct<") : -1]
     columns = rows.columns
 
+    keep, block = 1 - 1 / tau, 128
+    # a block's states from its values and the state before: s = L x + keep ** (1..n) * s0
+    power = keep ** np.arange(block + 1)
+    lower = np.tril(power[np.abs(np.subtract.outer(np.arange(block), np.arange(block)))]) / tau
+
     def run(batches):
-        group, state, held = None, 0.0, []
+        group, state = None, 0.0
         for pdf in batches:
             out = np.empty(len(pdf))
-            ids = list(zip(*(pdf[k] for k in keys), strict=True)) if keys else [()] * len(pdf)
-            for i, (g, x, lead) in enumerate(zip(ids, pdf[value].to_numpy(float), pdf["__seed"].to_numpy(float), strict=True)):
-                if g != group:
-                    group, state = g, lead
-                state += (x - state) / tau
-                out[i] = state
+            x, lead = pdf[value].to_numpy(float), pdf["__seed"].to_numpy(float)
+            ids = pdf.groupby(list(keys), sort=False, dropna=False).ngroup().to_numpy() if keys else np.zeros(len(pdf), int)
+            edges = np.flatnonzero(np.diff(ids, prepend=-1)) if len(pdf) else []
+            for a, b in zip(edges, [*edges[1:], len(pdf)], strict=True):
+                own = tuple(pdf[k].iloc[a] for k in keys)
+                if own != group:
+                    group, state = own, lead[a]
+                for lo in range(a, b, block):
+                    n = min(block, b - lo)
+                    out[lo : lo + n] = lower[:n, :n] @ x[lo : lo + n] + power[1 : n + 1] * state
+                    state = out[lo + n - 1]
             yield pd.concat([pdf[columns], pd.Series(out, name="filtered", index=pdf.index)], axis=1)
 
     w = Window.partitionBy(*keys).orderBy(*order)

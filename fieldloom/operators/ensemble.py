@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,36 +19,53 @@ class ModelFailure(Exception):
     """A run that the simulator refuses or can't finish: data, not an error of the job."""
 
 
+#: Runs of a site that share one copy of its forcing.
+CHUNK = 64
+
+
 def fan_out(runs: DataFrame, simulate: Callable[[Mapping[str, float], pd.DataFrame], pd.DataFrame], forcing: DataFrame | None, keys: Sequence[str], parameters: Sequence[str], site: str, order: str, schema: str) -> DataFrame:
     """One simulation for each run, reduced where it ran.
 
-    ``simulate(parameters, forcing of the site)`` returns rows of ``schema``. A ``ModelFailure`` gives one row with the
-    failure and NULL outputs; any other exception fails the job after Spark's retries. Runs are dealt by their keys, and a
-    site's forcing is joined as one array a site, so a task holds one run's forcing at a time.
+    ``simulate(parameters, forcing of the site)`` returns rows of ``schema``; the forcing is ordered by ``order``. A
+    ``ModelFailure`` gives one row with the failure and NULL outputs; any other exception fails the job after Spark's
+    retries. A site's runs are dealt by their keys into chunks of about ``CHUNK``; its forcing is sent once a chunk. Runs of a
+    site without forcing get an empty table.
     """
     names = [c.split()[0] for c in schema.split(", ")]
     out_schema = ", ".join([*(f"`{k}` {runs.schema[k].dataType.simpleString()}" for k in keys), schema, STATUS])
-    if forcing is not None:
-        columns = [c for c in forcing.columns if c != site]
-        packed = forcing.groupBy(site).agg(F.array_sort(F.collect_list(F.struct(order, *(c for c in columns if c != order)))).alias("__forcing"))
-        runs = runs.join(packed, site, "left")
-    else:
-        runs = runs.withColumn("__forcing", F.lit(None).cast("array<struct<i:int>>"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                held = row.pop("__forcing")
-                given = pd.DataFrame([x if isinstance(x, dict) else x.asDict() for x in held]) if held is not None else pd.DataFrame()
-                try:
-                    out = simulate({p: row[p] for p in parameters}, given)[names].assign(status="ok", error=None, message=None)
-                except ModelFailure as failure:
-                    out = pd.DataFrame([dict.fromkeys(names)]).assign(status="failed", error=type(failure).__name__, message=str(failure))
-                for k in reversed(keys):
-                    out.insert(0, k, row[k])
-                yield out
-
-    return runs.select(*keys, *(p for p in parameters if p not in keys), "__forcing").mapInPandas(run, out_schema)
+
+    def reports(held: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        outputs, status = [], []
+        for values in held[list(parameters)].to_dict("records"):
+            try:
+                outputs.append(simulate(values, given)[names])
+                status.append(("ok", None, None))
+            except ModelFailure as failure:
+                outputs.append(pd.DataFrame([dict.fromkeys(names)], dtype=object))
+                status.append(("failed", type(failure).__name__, str(failure)))
+        run = np.repeat(np.arange(len(held)), [len(x) for x in outputs])
+        own = [held[k].reset_index(drop=True).take(run).reset_index(drop=True) for k in keys]
+        table = {n: [v for x in outputs for v in x[n].tolist()] for n in names}
+        return pd.concat([*own, pd.DataFrame(table), pd.DataFrame([status[k] for k in run], columns=["status", "error", "message"])], axis=1)
+
+    runs = runs.select(*dict.fromkeys([*keys, *parameters, *([site] if forcing is not None else [])]))
+    if forcing is None:
+
+        def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for held in batches:
+                for lo in range(0, len(held), CHUNK):
+                    yield reports(held.iloc[lo : lo + CHUNK], pd.DataFrame())
+
+        return runs.mapInPandas(alone, out_schema)
+
+    def together(held: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        given = given.drop(columns=[site, "__chunk"]).sort_values(order, kind="stable", ignore_index=True)
+        return reports(held, given)
+
+    chunks = runs.groupBy(site).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("__chunks"))
+    dealt = runs.join(chunks, runs[site].eqNullSafe(chunks[site])).drop(chunks[site]).withColumn("__chunk", F.pmod(F.hash(*keys), "__chunks")).drop("__chunks")
+    sent = forcing.join(chunks, site).withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1))).drop("__chunks")
+    return dealt.groupBy(site, "__chunk").cogroup(sent.groupBy(site, "__chunk")).applyInPandas(together, out_schema)
 
 
 def failures(results: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -107,8 +125,9 @@ def two_level_quantiles(field: DataFrame, member: str, keys: Sequence[str], valu
 
 
 def uniform(seed: int, *keys: str):
-    """A number in [0, 1) for each key: a hash, so it depends on neither partitions nor order."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) / float(1 << 53)
+    """A number in [0, 1) for each key: 52 bits of a digest, so it depends on neither partitions nor order, and SQL can say it."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def normal(seed: int, *keys: str):

@@ -25,6 +25,11 @@ def unit_factor(have: str, want: str) -> float:
     return UNITS[have, want]
 
 
+def _for_each_run(labels: DataFrame, output: DataFrame, batch: list[str]) -> DataFrame:
+    """Each label of a site for every run of that site: an equi-join on the site, so runs may be as many as they are."""
+    return labels.join(output.select(*batch, "site").distinct(), "site") if batch else labels
+
+
 @dataclass(frozen=True)
 class SelectTimestep:
     """The value of the step that holds each observation's stamp."""
@@ -32,7 +37,7 @@ class SelectTimestep:
     variable: str
 
     def predict(self, output: DataFrame, observed: DataFrame, batch: list[str]) -> DataFrame:
-        labels = observed.select("site", "time").crossJoin(F.broadcast(output.select(*batch).distinct())) if batch else observed.select("site", "time")
+        labels = _for_each_run(observed.select("site", "time"), output, batch)
         steps = output.select(*batch, "site", "timestep_start", F.col("time").alias("timestep_end"), F.col(self.variable).alias("prediction"))
         return W.as_of(labels, steps, [*batch, "site"]).select(*batch, "site", "time", "prediction")
 
@@ -52,8 +57,7 @@ class ReduceOverWindows:
         value = F.col(self.variable) / days if self.rate else F.col(self.variable)
         steps = output.select(*batch, "site", "time", (value * self.factor).alias("value"), days.alias("days"))
         windows = observed.select("site", F.col("time").alias("label"), "window_start", "window_end")
-        if batch:
-            windows = windows.crossJoin(F.broadcast(output.select(*batch).distinct()))
+        windows = _for_each_run(windows, output, batch)
         found = W.reduce_windows(steps, windows, [self.how], [*batch, "site", "label"], [*batch, "site"], weight="days" if self.weighted else None)
         return found.select(*batch, "site", F.col("label").alias("time"), F.col(self.how).alias("prediction"))
 
@@ -71,6 +75,34 @@ class ReduceOverRun:
         return run.join(observed.select("site").distinct(), "site", "left_semi").select(*batch, "site", F.lit(None).cast("timestamp_ntz").alias("time"), F.col(self.how).alias("prediction"))
 
 
+@dataclass(frozen=True)
+class AverageRate:
+    """The mean rate of a total over each window: its steps' rates, weighted by their lengths."""
+
+    variable: str
+    factor: float = 1.0
+
+    def predict(self, output: DataFrame, observed: DataFrame, batch: list[str]) -> DataFrame:
+        return ReduceOverWindows(self.variable, "mean", weighted=True, rate=True, factor=self.factor).predict(output, observed, batch)
+
+
+@dataclass(frozen=True)
+class AbovegroundBiomass:
+    """Dry biomass: wood carbon averaged over each window by step length, over the share of dry wood that is carbon."""
+
+    carbon_fraction: float
+    wood: str = "wood_carbon"
+
+    def __post_init__(self) -> None:
+        if isinstance(self.carbon_fraction, bool) or not isinstance(self.carbon_fraction, (int, float)):
+            raise TypeError("the carbon fraction is a number")
+        if not 0 < self.carbon_fraction < 1:
+            raise ValueError("the carbon fraction is between 0 and 1")
+
+    def predict(self, output: DataFrame, observed: DataFrame, batch: list[str]) -> DataFrame:
+        return ReduceOverWindows(self.wood, "mean", weighted=True, factor=1 / self.carbon_fraction).predict(output, observed, batch)
+
+
 @dataclass(frozen=True)
 class LeafAreaIndex:
     """Leaf carbon over the leaf carbon an area of leaf has, a parameter of the run and site."""
@@ -106,6 +138,38 @@ def predict(operators: Mapping[str, Callable], output: DataFrame, observed: Data
     return out.where(ok).select("source", *batch, "site", "time", "prediction")
 
 
+def contract_violations(operator, output: DataFrame, observed: DataFrame, batch: list[str]) -> DataFrame:
+    """What an operator's predictions break of its contract, with the number of rows.
+
+    One finite prediction for each run and observed label, none for others, the same whatever order or partitions its
+    inputs have.
+    """
+    keys = [*batch, "site", "time"]
+    once = operator.predict(output, observed, batch)
+    wanted = _for_each_run(observed.select("site", "time").distinct(), output, batch).select(*keys)
+    safe = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    on = safe[0]
+    for c in safe[1:]:
+        on &= c
+
+    def without(a: DataFrame, b: DataFrame) -> DataFrame:
+        return a.join(b.select(*(F.col(k).alias(f"__{k}") for k in keys)), on, "left_anti")
+
+    again = operator.predict(output.repartition(3), observed.repartition(2), batch)
+    found = {
+        "repeated": once.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1"),
+        "missing": without(wanted, once),
+        "unknown": without(once, wanted),
+        "not finite": once.where(F.isnan("prediction") | (F.abs("prediction") == float("inf"))),
+        "unstable": once.select(*keys, F.round("prediction", 9).alias("p")).exceptAll(again.select(*keys, F.round("prediction", 9).alias("p"))),
+    }
+    out = None
+    for name, rows in found.items():
+        one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("violation"), "n")
+        out = one if out is None else out.union(one)
+    return out.where("n > 0")
+
+
 def positions(observed: DataFrame) -> DataFrame:
     """Observations with their position in the stacked vector: by source, site and time."""
     from fieldloom.operators.reshape import numbered

@@ -83,21 +83,55 @@ def photosynthesis(capacity: str, share: str) -> list[Rule]:
 
 
 def initial_state(leaf_per_area: str, fine: str, coarse: str, deciduous: str) -> list[Rule]:
-    """Initial pools in g m-2, leaf area and soil wetness from carbon in kg m-2 and moisture in percent."""
+    """Initial pools in g m-2, leaf area, soil wetness and root shares from carbon in kg m-2 and moisture in percent.
+
+    A deciduous site starts without leaves, whatever its leaf carbon.
+    """
     return [
         Rule("soil_init", ("soil_organic_carbon",), lambda s: 1000 * s),
         Rule("plant_wood_init", ("wood_carbon", fine, coarse), lambda w, f, g: 1000 * w / (1 - f - g)),
         Rule("lai_init", ("leaf_carbon", leaf_per_area, deciduous), lambda c, a, d: F.when(d, F.lit(0.0)).otherwise(1000 * c / a)),
         Rule("soil_wfrac_init", ("soil_moisture",), lambda m: m / 100),
+        copy("fine_root_frac", fine),
+        copy("coarse_root_frac", coarse),
     ]
 
 
-def refused_states(frame: DataFrame, keys: Sequence[str], fine: str, coarse: str, least: float = 0.01) -> DataFrame:
-    """Rows that no initial state can be made of, with the reason."""
-    pools = ("soil_organic_carbon", "wood_carbon", "leaf_carbon")
-    reason = F.lit(None).cast("string")
-    reason = F.when(1 - F.col(fine) - F.col(coarse) < least, "roots take all wood").otherwise(reason)
-    reason = F.when((F.col("soil_moisture") > 100) | (F.col("soil_moisture") < 0), "moisture is no percentage").otherwise(reason)
-    for p in pools:
-        reason = F.when(F.col(p).isNull() | F.isnan(p) | (F.col(p) < 0) | (F.col(p) == float("inf")), f"{p} is negative or not finite").otherwise(reason)
-    return frame.withColumn("reason", reason).where("reason is not null").select(*keys, "reason")
+#: The least share of the wood that roots leave, and the least leaf carbon an area of leaf that the simulator takes as given.
+LEAST_WOOD, LEAST_LEAF = 0.01, 1e-6
+
+
+def refused_states(frame: DataFrame, keys: Sequence[str], leaf_per_area: str, fine: str, coarse: str, deciduous: str, least: float = LEAST_WOOD) -> DataFrame:
+    """Rows that no initial state can be made of, with the first reason; leaf carbon counts at evergreen sites alone."""
+
+    def finite(name: str) -> Column:
+        return F.col(name).isNotNull() & ~F.isnan(name) & (F.abs(name) != float("inf"))
+
+    wood = 1 - F.col(fine) - F.col(coarse)
+    reasons = [(~(finite(p) & (F.col(p) >= 0)), f"{p} is negative or not finite") for p in ("soil_organic_carbon", "wood_carbon")]
+    reasons += [
+        (~F.col(deciduous) & ~(finite("leaf_carbon") & (F.col("leaf_carbon") >= 0)), "leaf_carbon is negative or not finite"),
+        (~(finite("soil_moisture") & F.col("soil_moisture").between(0, 100)), "soil_moisture is no percentage"),
+        (~(finite(leaf_per_area) & (F.col(leaf_per_area) >= LEAST_LEAF)), f"{leaf_per_area} is below the simulator's least"),
+        *((~(finite(r) & F.col(r).between(0, 1)), f"{r} is no share") for r in (fine, coarse)),
+        (wood < least, "roots take all wood"),
+    ]
+    found = F.coalesce(*(F.when(bad, F.lit(reason)) for bad, reason in reasons))
+    return frame.withColumn("reason", found).where("reason is not null").select(*keys, "reason")
+
+
+def member_states(states: DataFrame, parameters: DataFrame, labels: Sequence[str], leaf_per_area: str, fine: str, coarse: str, deciduous: str) -> DataFrame:
+    """Initial states of an ensemble: its members' pools with the parameters of the same labels.
+
+    ``labels`` are the batch dims and site of the states; parameters carry any of them and are matched by those they carry. A
+    state without its parameters, or that can't be converted, fails the query.
+    """
+    shared = [x for x in labels if x in parameters.columns]
+    if extra := [c for c in parameters.columns if c not in (*labels, leaf_per_area, fine, coarse, deciduous)]:
+        raise RuleError(f"the parameters have dims that the states lack: {', '.join(extra)}")
+    held = states.join(parameters.withColumn("__held", F.lit(True)), shared, "left") if shared else states.crossJoin(F.broadcast(parameters.limit(2).withColumn("__held", F.lit(True))))
+    refused = refused_states(held, [*labels, "__held"], leaf_per_area, fine, coarse, deciduous)
+    reason = F.when(F.col("__held").isNull(), F.lit("it has no parameters")).otherwise(F.col("__reason"))
+    marked = held.join(refused.select(*labels, F.col("reason").alias("__reason")), list(labels), "left").withColumn("__why", reason)
+    ok = F.when(F.col("__why").isNotNull(), F.raise_error(F.concat(F.lit("no initial state: "), F.col("__why")))).otherwise(F.lit(True))
+    return apply(marked.where(ok), initial_state(leaf_per_area, fine, coarse, deciduous), labels)

@@ -14,7 +14,7 @@ from fieldloom.operators.joins import request_order
 def select_sites(table: DataFrame, key: str = "site_id", *, ids: Sequence[int] | None = None, box: tuple[float, float, float, float] | None = None, where: Column | None = None, n_random: int | None = None, seed: int = 0) -> DataFrame:
     """Ids, then box, then predicate, then a random sample. Ids keep the order of the request; a sample is by id.
 
-    The sample takes the rows whose hash of seed and id is least, so it doesn't depend on partitions.
+    The sample takes the rows whose digest of seed and id is least, so it doesn't depend on partitions.
     """
     out = request_order(table, ids, key) if ids is not None else table
     if box is not None:
@@ -22,7 +22,7 @@ def select_sites(table: DataFrame, key: str = "site_id", *, ids: Sequence[int] |
     if where is not None:
         out = out.where(F.when(where.isNull(), F.raise_error(F.lit("the predicate is missing for a row"))).otherwise(where))
     if n_random is not None:
-        out = out.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n_random)
+        out = out.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n_random)
     return out
 
 
