@@ -61,6 +61,20 @@ def softmax_normal(x: Column, center: list[float], sd: list[float]) -> Column:
     return _open(ok, out - F.log(F.element_at(x, k)))
 
 
+def gaussian_copula(scores: list[Column], correlation: list[list[float]]) -> Column:
+    """Log density of a Gaussian copula at the normal scores of its marginals; add the marginals' own log densities."""
+    matrix = np.array(correlation, float)
+    sign, log_det = np.linalg.slogdet(matrix)
+    if sign <= 0 or not np.allclose(matrix, matrix.T) or not np.allclose(np.diag(matrix), 1):
+        raise ValueError("a correlation is symmetric and positive definite, with ones on its diagonal")
+    inner = np.linalg.inv(matrix) - np.eye(len(matrix))
+    out = F.lit(-log_det / 2)
+    for i, a in enumerate(scores):
+        for j, b in enumerate(scores):
+            out = out - a * b * float(inner[i, j]) / 2
+    return out
+
+
 def inverse_gamma(v: Column, a: float, b: float) -> Column:
     return _open(v > 0, a * math.log(b) - math.lgamma(a) - (a + 1) * F.log(F.when(v > 0, v)) - b / v)
 

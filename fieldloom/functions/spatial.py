@@ -64,10 +64,31 @@ def equal_area(lon: Column, lat: Column, lon0: float, lat0: float) -> tuple[Colu
     return b * d * F.cos(beta) * F.sin(lam), (b / d) * (math.cos(beta0) * F.sin(beta) - math.sin(beta0) * F.cos(beta) * F.cos(lam))
 
 
+def distortion(lon: Column, lat: Column, lon0: float, lat0: float, step: float = 1e-4) -> dict[str, Column]:
+    """Local distortion of ``equal_area`` from central differences over ``step`` degrees.
+
+    Extreme linear scales (``semimajor``, ``semiminor``), their product ``areal_scale``, the largest change of an angle
+    (``angular``, degrees), and ``convergence``: the counter-clockwise turn of projected north, in degrees.
+    """
+    e2 = FLATTENING * (2 - FLATTENING)
+    (east_x, east_y), (west_x, west_y) = (equal_area(lon + s, lat, lon0, lat0) for s in (step, -step))
+    (north_x, north_y), (south_x, south_y) = (equal_area(lon, lat + s, lon0, lat0) for s in (step, -step))
+    width = 2 * math.radians(step)
+    xl, yl, xp, yp = (east_x - west_x) / width, (east_y - west_y) / width, (north_x - south_x) / width, (north_y - south_y) / width
+    w = 1 - e2 * F.pow(F.sin(F.radians(lat)), 2)
+    meridian, parallel = A_M * (1 - e2) / F.pow(w, 1.5), A_M * F.cos(F.radians(lat)) / F.sqrt(w)
+    h2, k2 = (xp * xp + yp * yp) / (meridian * meridian), (xl * xl + yl * yl) / (parallel * parallel)
+    area = (yp * xl - xp * yl) / (meridian * parallel)
+    both, apart = F.sqrt(F.greatest(h2 + k2 + 2 * area, F.lit(0.0))), F.sqrt(F.greatest(h2 + k2 - 2 * area, F.lit(0.0)))
+    return {
+        "semimajor": (both + apart) / 2, "semiminor": (both - apart) / 2, "areal_scale": area,
+        "angular": F.degrees(2 * F.asin(F.least(apart / both, F.lit(1.0)))), "convergence": -F.degrees(F.atan2(xp, yp)),
+    }
+
+
 def areal_scale(lon: Column, lat: Column, lon0: float, lat0: float) -> Column:
-    """Area distortion of ``equal_area``: 1 wherever it is defined."""
-    x, _ = equal_area(lon, lat, lon0, lat0)
-    return F.when(x.isNotNull(), F.lit(1.0))
+    """Area distortion of ``equal_area``."""
+    return distortion(lon, lat, lon0, lat0)["areal_scale"]
 
 
 def solar_toa(us: Column, lon: Column, lat: Column, constant: float = 1361.0) -> Column:

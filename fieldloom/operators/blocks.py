@@ -72,32 +72,34 @@ def block_noise(rows: DataFrame, keys: Sequence[str], order: Sequence[str], cova
     return rows.groupBy(*keys).applyInPandas(one, f"{_kinds(rows, kept)}, draw long, noise double")
 
 
-def maximum_likelihood(rows: DataFrame, keys: Sequence[str], order: Sequence[str], residual: str, build: Callable[[np.ndarray], Covariance], start: Sequence[float], rounds: int = 6, spread: float = 1.0) -> tuple[np.ndarray, float]:
-    """Log-scale coordinate search for the covariance parameters of greatest summed block density.
+def profile(rows: DataFrame, keys: Sequence[str], order: Sequence[str], residual: str, build: Callable[[np.ndarray], Covariance], candidates: Sequence[Sequence[float]]) -> DataFrame:
+    """``candidate, log_density``: the summed block density at each candidate's covariance parameters, in one job.
 
-    Each round evaluates both sides of every coordinate in one job: candidates are an exploded column, so blocks and
-    candidates are tasks of their own. The step halves where no side is better.
+    Candidates are an exploded column, so blocks and candidates are tasks of their own.
     """
-    spark = rows.sparkSession
-    best, width = np.log(np.asarray(start, float)), spread
-    top = -np.inf
+    held = rows.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(candidates)], "__c long, __p array<double>")
 
-    def evaluate(candidates: list[np.ndarray]) -> list[float]:
-        held = spark.createDataFrame([(i, np.exp(c).tolist()) for i, c in enumerate(candidates)], "__c long, __p array<double>")
-        each = rows.crossJoin(F.broadcast(held))
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(list(order))
+        low = _factor(pdf, build(np.asarray(pdf["__p"].iloc[0], float)))
+        z = np.linalg.solve(low, pdf[residual].to_numpy(float))
+        return pd.DataFrame({"candidate": [int(pdf["__c"].iloc[0])], "d": [float(-0.5 * z @ z - np.log(np.diag(low)).sum() - len(pdf) * LOG_2PI / 2)]})
 
-        def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(list(order))
-            low = _factor(pdf, build(np.asarray(pdf["__p"].iloc[0], float)))
-            z = np.linalg.solve(low, pdf[residual].to_numpy(float))
-            return pd.DataFrame({"__c": [int(pdf["__c"].iloc[0])], "d": [float(-0.5 * z @ z - np.log(np.diag(low)).sum() - len(pdf) * LOG_2PI / 2)]})
+    each = rows.crossJoin(F.broadcast(held)).groupBy(*keys, "__c").applyInPandas(one, "candidate long, d double")
+    return each.groupBy("candidate").agg(F.sum("d").alias("log_density"))
 
-        found = dict(tuple(r) for r in each.groupBy(*keys, "__c").applyInPandas(one, "__c long, d double").groupBy("__c").agg(F.sum("d")).collect())
-        return [found[i] for i in range(len(candidates))]
 
+def maximum_likelihood(rows: DataFrame, keys: Sequence[str], order: Sequence[str], residual: str, build: Callable[[np.ndarray], Covariance], start: Sequence[float], rounds: int = 6, spread: float = 1.0) -> tuple[np.ndarray, float]:
+    """Log-scale coordinate search for the covariance parameters of greatest summed block density.
+
+    Each round evaluates both sides of every coordinate in one job. The step halves where no side is better.
+    """
+    best, width = np.log(np.asarray(start, float)), spread
+    top = -np.inf
     for _ in range(rounds):
         trial = [best] + [best + s * width * np.eye(len(best))[k] for k in range(len(best)) for s in (-1, 1)]
-        values = evaluate(trial)
+        found = dict(tuple(r) for r in profile(rows, keys, order, residual, build, [np.exp(c) for c in trial]).collect())
+        values = [found[i] for i in range(len(trial))]
         k = int(np.argmax(values))
         top = values[k]
         if k == 0:

@@ -28,5 +28,15 @@ def rounded(frame: DataFrame, places: int = 6) -> DataFrame:
     return frame.select(*(F.round(F.col(f"`{n}`"), places).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in frame.dtypes))
 
 
+def uniform_sql(seed: int, *keys: str) -> str:
+    """``ensemble.uniform`` in SQL."""
+    return f"(('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(keys)})), 1, 13))::bigint / 4503599627370496.0)"
+
+
+def normal_sql(seed: int, *keys: str) -> str:
+    """``ensemble.normal`` in SQL."""
+    return f"(sqrt(-2 * ln(1 - {uniform_sql(seed, *keys)})) * cos(2 * pi() * {uniform_sql(seed + 1_000_003, *keys)}))"
+
+
 def r(column: Column, name: str, places: int = 6) -> Column:
     return F.round(column, places).alias(name)

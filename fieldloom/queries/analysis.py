@@ -28,30 +28,33 @@ def seasonal_means(spark, sf):
     return rounded(A.seasonal_means(_daily(spark, sf), ["k"], "day", "v"), 9)
 
 
-_YEARS = (1995, 1996, 1997, 1998)
+_YEARS = range(1995, 2002)  # of the SQL; the queries take the years of the record
+
+
+def _pivot(daily, week=None):
+    years = sorted(r[0] for r in daily.select(F.year("day")).distinct().collect())  # a row a year
+    return rounded(A.weekly_by_year(daily, "day", "v", years, *([] if week is None else [week])), 9)
 
 
 @query(f"""with d as ({_DAILY}) select w::int as week, {", ".join(f"round(avg(case when year(day) = {y} then v end), 9) as y{y}" for y in _YEARS)}
 from generate_series(1, 52) t(w) left join d on {_WEEK} = w group by 1""")
 def weekly_year_pivot(spark, sf):
-    return rounded(A.weekly_by_year(_daily(spark, sf), "day", "v", _YEARS), 9)
+    return _pivot(_daily(spark, sf))
 
 
 @query(f"""with d as ({_DAILY}) select w::int as week, {", ".join(f"round(avg(case when year(day) = {y} then v end), 9) as y{y}" for y in _YEARS)}
 from generate_series(1, 52) t(w) left join d on least(weekofyear(day), 52) = w group by 1""")
 def iso_week_year_pivot(spark, sf):
-    return rounded(A.weekly_by_year(_daily(spark, sf), "day", "v", _YEARS, iso_week(F.col("day"))), 9)
+    return _pivot(_daily(spark, sf), iso_week(F.col("day")))
 
 
 @query(f"with d as ({_DAILY}) select year(day)::int as year, {_WEEK}::int as week, round(avg(v), 9) as mean from d group by 1, 2")
-def weekly_year_means_whole(spark, sf):
-    """Every year of the record as rows; ``weekly_year_pivot`` has the years that its SQL names."""
+def weekly_year_means(spark, sf):
     return rounded(A.weekly_means(_daily(spark, sf), [], "day", "v"), 9)
 
 
 @query(f"with d as ({_DAILY}) select year(day)::int as year, least(weekofyear(day), 52)::int as week, round(avg(v), 9) as mean from d group by 1, 2")
-def iso_week_year_means_whole(spark, sf):
-    """Every year of the record as rows; ``iso_week_year_pivot`` has the years that its SQL names."""
+def iso_week_year_means(spark, sf):
     return rounded(A.weekly_means(_daily(spark, sf), [], "day", "v", iso_week(F.col("day"))), 9)
 
 

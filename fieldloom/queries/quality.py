@@ -131,3 +131,39 @@ def kept_fraction_by_month(spark, sf):
     from fieldloom.operators.surveys import kept_by_month
 
     return rounded(kept_by_month(table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct(), "day"))
+
+
+@query("""select count(*) as "rows", count(distinct p_brand) as keys, median(p_size - cast(floor(p_retailprice) as bigint) % 50) as median_excess from part where p_size >= cast(floor(p_retailprice) as bigint) % 50""")
+def inversion_survey(spark, sf):
+    from fieldloom.operators.surveys import inversions
+
+    rows = table(spark, sf, "part").select("p_brand", "p_size", (F.floor("p_retailprice") % 50).alias("other"))
+    return inversions(rows, "p_brand", "p_size", "other")
+
+
+@query("""select count(*) as "rows", (select count(*) from (select distinct c_nationkey, c_mktsegment from customer)) as cells, count(distinct c_nationkey) as n_c_nationkey, count(distinct c_mktsegment) as n_c_mktsegment,
+count(*) = (select count(*) from (select distinct c_nationkey, c_mktsegment from customer)) and count(*) = count(distinct c_nationkey) * count(distinct c_mktsegment) as complete from customer""")
+def rectangle_completeness(spark, sf):
+    from fieldloom.operators.surveys import completeness
+
+    return completeness(table(spark, sf, "customer"), ["c_nationkey", "c_mktsegment"])
+
+
+@query("""select vec_id, embedding[1] between -0.1 and 0.1 as within, embedding[1] > -0.1 and embedding[1] < 0.1 as inside, true as on_simplex, abs(embedding[1]) + abs(embedding[2]) between 1 - 1e-10 and 1 + 1e-10 as off_simplex from embeddings""")
+def support_membership(spark, sf):
+    from fieldloom.operators.select import in_interval, in_simplex
+
+    x, y = F.abs(F.col("embedding")[0].cast("double")), F.abs(F.col("embedding")[1].cast("double"))
+    v = F.col("embedding")[0]
+    return table(spark, sf, "embeddings").select(
+        "vec_id", in_interval(v, -0.1, 0.1).alias("within"), in_interval(v, -0.1, 0.1, closed=False).alias("inside"), in_simplex(F.array(x / (x + y), y / (x + y))).alias("on_simplex"), in_simplex(F.array(x, y)).alias("off_simplex")
+    )
+
+
+@query("""select o_orderkey, c_custkey, case when abs(c_acctbal) > 9000 then 1 else 0 end as rich from (select o_custkey, min(o_orderkey) as o_orderkey from orders group by 1 having count(distinct o_orderpriority) > 1) join customer on c_custkey = o_custkey""")
+def check_not_constant(spark, sf):
+    """Customers whose orders differ in their priority, with their first order."""
+    orders, customer = table(spark, sf, "orders"), table(spark, sf, "customer")
+    mixed = C.not_constant(orders, ["o_custkey"], ["o_orderpriority"]).select("o_custkey")
+    first = orders.join(mixed, "o_custkey", "left_semi").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("o_orderkey"))
+    return first.join(customer, "c_custkey").select("o_orderkey", "c_custkey", (F.abs("c_acctbal") > 9000).cast("int").alias("rich"))

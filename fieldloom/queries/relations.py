@@ -22,9 +22,9 @@ def select_composed(spark, sf):
     return found.select("position", "site_id", "lon", "lat")
 
 
-@query(None)
+@query("""select c_custkey, c_name from customer order by md5('11|' || c_custkey), c_custkey limit 20""")
 def select_random_sites(spark, sf):
-    """A sample by the hash of seed and id: the same rows on any number of partitions."""
+    """A sample by the digest of seed and id: the same rows on any number of partitions."""
     return S.select_sites(table(spark, sf, "customer"), "c_custkey", n_random=20, seed=11).select("c_custkey", "c_name")
 
 
@@ -140,17 +140,8 @@ def _through_layout(embeddings):
     return layout.to_entries(again, ["vec_id"], "flat").select("vec_id", F.col("entry").cast("long").alias("entry"), "value")
 
 
-@query("""select vec_id, i - 1 as entry, embedding[i]::double as value from embeddings, generate_series(1, 4) t(i) where vec_id < 2000""")
-def layout_roundtrip(spark, sf):
-    """Vectors to entries, to a vector again, and to entries once more, through a layout of four named elements.
-
-    The vectors that its SQL names; ``layout_roundtrip_whole`` has every vector.
-    """
-    return _through_layout(table(spark, sf, "embeddings").where("vec_id < 2000"))
-
-
 @query("""select vec_id, i - 1 as entry, embedding[i]::double as value from embeddings, generate_series(1, 4) t(i)""")
-def layout_roundtrip_whole(spark, sf):
+def layout_roundtrip(spark, sf):
     return _through_layout(table(spark, sf, "embeddings"))
 
 
@@ -168,9 +159,9 @@ def thinned_members(spark, sf):
     return R.thin(supplier, "s_suppkey", n, 7)
 
 
-@query("""select row_number() over (order by o_orderkey) - 1 as position, o_orderkey from orders""")
+@query("""select row_number() over (order by o_orderkey) - 1 as position, o_orderkey, o_custkey, o_orderdate, o_totalprice, o_orderpriority from orders""")
 def positions_in_order(spark, sf):
-    return R.numbered(table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], "position").select("position", "o_orderkey")
+    return R.numbered(table(spark, sf, "orders"), ["o_orderkey"], "position").select("position", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority")
 
 
 def _enumerated(spark, sf, suppliers):
@@ -178,16 +169,9 @@ def _enumerated(spark, sf, suppliers):
     return R.run_table(3, [regions], suppliers.select("s_suppkey"))
 
 
-@query("""select sample, n_regionkey, s_suppkey, (row_number() over (order by sample, n_regionkey, s_suppkey) - 1) as run
-from generate_series(0, 2) t(sample), (select distinct n_regionkey from nation), (select s_suppkey from supplier where s_suppkey < 10)""")
-def run_enumeration(spark, sf):
-    """The suppliers that its SQL names; ``run_enumeration_whole`` has every supplier."""
-    return _enumerated(spark, sf, table(spark, sf, "supplier").where("s_suppkey < 10"))
-
-
 @query("""select sample, n_regionkey, s_suppkey, (row_number() over (order by sample, n_regionkey, s_suppkey) - 1) as run
 from generate_series(0, 2) t(sample), (select distinct n_regionkey from nation), (select s_suppkey from supplier)""")
-def run_enumeration_whole(spark, sf):
+def run_enumeration(spark, sf):
     return _enumerated(spark, sf, table(spark, sf, "supplier"))
 
 

@@ -47,17 +47,17 @@ def within_angle(spark, sf):
     return _points(spark, sf).where(S.angular_distance(F.col("lon"), F.col("lat"), -100.0, 45.0) <= 20)
 
 
-def _equal_area_sql(lon0: float, lat0: float) -> str:
+def _equal_area_sql(lon0: float, lat0: float, points: str = _POINTS, places: int = 3) -> str:
     e2 = S.FLATTENING * (2 - S.FLATTENING)
     e, s0 = math.sqrt(e2), math.sin(math.radians(lat0))
 
     def q(s: str) -> str:
         return f"(1 - {e2!r}::double) * ({s} / (1 - {e2!r}::double * {s} * {s}) - ln((1 - {e!r}::double * {s}) / (1 + {e!r}::double * {s})) / (2 * {e!r}::double))"
 
-    return f"""with p as ({_POINTS}), a as (select k, sin(radians(lat)) as s, radians(lon - ({lon0})) as lam from p), c as (select {q('1.0::double')} as qp, {q(f'{s0!r}::double')} as q0),
+    return f"""with p as ({points}), a as (select k, sin(radians(lat)) as s, radians(lon - ({lon0})) as lam from p), c as (select {q('1.0::double')} as qp, {q(f'{s0!r}::double')} as q0),
 b as (select k, lam, asin(greatest(least(({q('s')}) / qp, 1), -1)) as beta, asin(q0 / qp) as beta0, {S.A_M}::double * sqrt(qp / 2) as rq from a, c),
 d as (select *, {S.A_M}::double * {math.cos(math.radians(lat0)) / math.sqrt(1 - e2 * s0 * s0)!r}::double / (rq * cos(beta0)) as d, rq * sqrt(2 / (1 + sin(beta0) * sin(beta) + cos(beta0) * cos(beta) * cos(lam))) as b from b)
-select k, round(b * d * cos(beta) * sin(lam), 3) as x, round((b / d) * (cos(beta0) * sin(beta) - sin(beta0) * cos(beta) * cos(lam)), 3) as y from d"""
+select k, round(b * d * cos(beta) * sin(lam), {places}) as x, round((b / d) * (cos(beta0) * sin(beta) - sin(beta0) * cos(beta) * cos(lam)), {places}) as y from d"""
 
 
 @query(_equal_area_sql(-100.0, 45.0))
@@ -66,7 +66,40 @@ def equal_area_projection(spark, sf):
     return rounded(_points(spark, sf).select("k", x.alias("x"), y.alias("y")), 3)
 
 
-@query(None)
+_EDGES = """select i as k, -125 + i / 256.0 * 59 as lon, 24.0 as lat from generate_series(0, 256) t(i) union all select i, -125 + i / 256.0 * 59, 50.0 from generate_series(0, 256) t(i)
+union all select i, -125.0, 24 + i / 256.0 * 26 from generate_series(0, 256) t(i) union all select i, -66.0, 24 + i / 256.0 * 26 from generate_series(0, 256) t(i)"""
+
+
+def _distortion_sql(lon0: float, lat0: float) -> str:
+    """Derivatives of the projection in closed form."""
+    e2 = S.FLATTENING * (2 - S.FLATTENING)
+    e, s0 = math.sqrt(e2), math.sin(math.radians(lat0))
+
+    def q(s: str) -> str:
+        return f"((1 - {e2!r}::double) * ({s} / (1 - {e2!r}::double * {s} * {s}) - ln((1 - {e!r}::double * {s}) / (1 + {e!r}::double * {s})) / (2 * {e!r}::double)))"
+
+    return f"""with p as ({_POINTS}), a as (select k, sin(radians(lat)) as s, cos(radians(lat)) as c, radians(lon - ({lon0})) as lam from p),
+c0 as (select {q('1.0::double')} as qp, {q(f'{s0!r}::double')} as q0),
+b as (select k, s, c, lam, asin({q('s')} / qp) as beta, asin(q0 / qp) as beta0, {S.A_M}::double * sqrt(qp / 2) as rq, 2 * (1 - {e2!r}::double) * c / pow(1 - {e2!r}::double * s * s, 2) / sqrt(qp * qp - pow({q('s')}, 2)) as db from a, c0),
+d as (select *, {S.A_M}::double * {math.cos(math.radians(lat0)) / math.sqrt(1 - e2 * s0 * s0)!r}::double / (rq * cos(beta0)) as d, 1 + sin(beta0) * sin(beta) + cos(beta0) * cos(beta) * cos(lam) as t from b),
+g as (select *, rq * sqrt(2 / t) as b, -rq * sqrt(2 / t) / (2 * t) * (sin(beta0) * cos(beta) - cos(beta0) * sin(beta) * cos(lam)) as bb, rq * sqrt(2 / t) / (2 * t) * cos(beta0) * cos(beta) * sin(lam) as bl, cos(beta0) * sin(beta) - sin(beta0) * cos(beta) * cos(lam) as y0 from d),
+j as (select k, s, c, d * (bl * cos(beta) * sin(lam) + b * cos(beta) * cos(lam)) as xl, (bl * y0 + b * sin(beta0) * cos(beta) * sin(lam)) / d as yl,
+d * (bb * cos(beta) * sin(lam) - b * sin(beta) * sin(lam)) * db as xp, (bb * y0 + b * (cos(beta0) * cos(beta) + sin(beta0) * sin(beta) * cos(lam))) / d * db as yp from g),
+m as (select *, {S.A_M}::double * (1 - {e2!r}::double) / pow(1 - {e2!r}::double * s * s, 1.5) as m, {S.A_M}::double * c / sqrt(1 - {e2!r}::double * s * s) as n from j),
+f as (select k, xp, yp, (xp * xp + yp * yp) / (m * m) + (xl * xl + yl * yl) / (n * n) as hk, (yp * xl - xp * yl) / (m * n) as area from m),
+w as (select k, xp, yp, area, sqrt(greatest(hk + 2 * area, 0)) as both_, sqrt(greatest(hk - 2 * area, 0)) as apart from f)
+select k, round((both_ + apart) / 2, 3) as semimajor, round((both_ - apart) / 2, 3) as semiminor, round(area, 6) as areal_scale, round(degrees(2 * asin(least(apart / both_, 1))), 1) as angular, round(-degrees(atan2(xp, yp)), 4) as convergence from w"""
+
+
+@query(_distortion_sql(-100.0, 45.0))
+def projection_distortion(spark, sf):
+    """Scales, angles and convergence from differences; its SQL has the derivatives in closed form."""
+    found = S.distortion(F.col("lon"), F.col("lat"), -100.0, 45.0)
+    places = {"semimajor": 3, "semiminor": 3, "areal_scale": 6, "angular": 1, "convergence": 4}
+    return _points(spark, sf).select("k", *(F.round(c, places[n]).alias(n) for n, c in found.items()))
+
+
+@query(f"select min(x) as x_min, min(y) as y_min, max(x) as x_max, max(y) as y_max from ({_equal_area_sql(-100.0, 45.0, _EDGES)})")
 def projected_box(spark, sf):
     """Bounds of a box in the equal-area plane; its edges curve, so they are sampled."""
     return rounded(projected_bounds(spark, (-125.0, 24.0, -66.0, 50.0), -100.0, 45.0), 3)

@@ -57,6 +57,26 @@ def test_numbering_is_global(spark):
     assert sorted((r["x"], r["n"]) for r in R.numbered(frame, ["x"], "n").collect()) == [(i, i) for i in range(1000)]
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbering_and_resampling_keep_payload_rows(spark, adaptive):
+    """Over a million rows with wide columns, whatever the engine does with the ranges of a second exchange."""
+    from fieldloom.operators.weights import systematic_resample
+
+    n = 1_200_000
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        frame = spark.range(n).select((F.col("id") * 7919 % n).alias("x"), F.repeat(F.md5(F.col("id").cast("string")), 4).alias("payload"), (1.0 + F.col("id") % 3).alias("w"))
+        found = R.numbered(frame, ["x"], "n").agg(F.count("*"), F.countDistinct("n"), F.count_if(F.col("n") != F.col("x")), F.count("payload")).first()
+        assert tuple(found) == (n, n, 0, n)
+        drawn = systematic_resample(frame, "x", "w", 1_000_000, 0.4)
+        found = drawn.agg(F.count("*"), F.countDistinct("draw"), F.max("draw"), F.count_if(F.length("payload") != 128)).first()
+        assert tuple(found) == (1_000_000, 1_000_000, 999_999, 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_thinning(spark):
     import numpy as np
 
@@ -91,8 +111,22 @@ def test_rules(spark):
         P.apply(frame, [P.copy("a", "lost")], ["k"])
     with pytest.raises(PySparkException, match="no value for"):
         P.apply(frame, [P.fixed_by("d", "k", {"7": 1.0})], ["k"]).collect()
-    states = spark.createDataFrame([(1, 1.0, 1.0, 1.0, 50.0, 0.2, 0.2), (2, -1.0, 1.0, 1.0, 50.0, 0.2, 0.2), (3, 1.0, 1.0, 1.0, 101.0, 0.2, 0.2), (4, 1.0, 1.0, 1.0, 50.0, 0.6, 0.395)], "k int, soil_organic_carbon double, wood_carbon double, leaf_carbon double, soil_moisture double, f double, g double")
-    assert [r["k"] for r in P.refused_states(states, ["k"], "f", "g").orderBy("k").collect()] == [2, 3, 4]
+    good = {"soil_organic_carbon": 1.0, "wood_carbon": 1.0, "leaf_carbon": 1.0, "soil_moisture": 50.0, "f": 0.2, "g": 0.2, "a": 270.0, "d": False}
+    bad = [{"soil_organic_carbon": -1.0}, {"soil_moisture": 101.0}, {"f": 0.6, "g": 0.395}, {"soil_moisture": None}, {"f": -0.1}, {"a": 1e-7}, {"leaf_carbon": None}, {"leaf_carbon": -1.0}, {"wood_carbon": float("nan")}, {"wood_carbon": float("inf")}]
+    fine = [{}, {"leaf_carbon": None, "d": True}, {"leaf_carbon": -1.0, "d": True}, {"soil_moisture": 0.0}]
+    kinds = ", ".join(f"{k} {'boolean' if k == 'd' else 'double'}" for k in good)
+    states = spark.createDataFrame([(i, *{**good, **x}.values()) for i, x in enumerate([*bad, *fine])], f"k int, {kinds}")
+    assert [r["k"] for r in P.refused_states(states, ["k"], "a", "f", "g", "d").orderBy("k").collect()] == list(range(len(bad)))
+    pools = ["k", "soil_organic_carbon", "wood_carbon", "leaf_carbon", "soil_moisture", "d"]
+    kept = states.where(f"k >= {len(bad)}")
+    made = P.member_states(kept.select(*pools), kept.select("k", "a", "f", "g"), ["k"], "a", "f", "g", "d")
+    assert [r["lai_init"] for r in made.orderBy("k").collect()] == [1000 / 270, 0.0, 0.0, 1000 / 270] and len(made.columns) == 7
+    with pytest.raises(PySparkException, match="no initial state: it has no parameters"):
+        P.member_states(kept.select(*pools), kept.where("k <> 11").select("k", "a", "f", "g"), ["k"], "a", "f", "g", "d").collect()
+    with pytest.raises(PySparkException, match="soil_moisture is no percentage"):
+        P.member_states(states.where("k = 1").select(*pools), states.where("k = 1").select("k", "a", "f", "g"), ["k"], "a", "f", "g", "d").collect()
+    with pytest.raises(P.RuleError, match="dims that the states lack"):
+        P.member_states(kept.select(*pools), kept.select("k", "a", "f", "g", F.lit(1).alias("pft")), ["k"], "a", "f", "g", "d")
 
 
 def test_observation_spans():

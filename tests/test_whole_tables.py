@@ -31,16 +31,16 @@ def whole(spark, larger, name: str, rows: int | None = None) -> pd.DataFrame:
 
 
 def test_noise_of_every_supplier(spark, larger):
-    assert whole(spark, larger, "noise_summary_whole", 100)["n"].astype(int).sum() == 60_000
+    assert whole(spark, larger, "noise_summary", 100)["n"].astype(int).sum() == 60_000
 
 
 def test_a_run_of_every_part_and_all_failures(spark, larger):
-    runs = whole(spark, larger, "run_fanout_toy_whole", 2_000)
-    failed = whole(spark, larger, "failure_summary_whole", 1)
+    runs = whole(spark, larger, "run_fanout_toy", 2_000)
+    failed = whole(spark, larger, "failure_summary", 1)
     assert int(failed["runs"][0]) == (runs["status"] == "failed").sum() == 440
 
 
-@pytest.mark.parametrize("name", ["weekly_year_means_whole", "iso_week_year_means_whole"])
+@pytest.mark.parametrize("name", ["weekly_year_means", "iso_week_year_means"])
 def test_weeks_of_every_year(spark, larger, name):
     years = {int(y) for y in whole(spark, larger, name)["year"]}
     assert years == {y for (y,) in larger.sql("select distinct year(o_orderdate) from orders").fetchall()} and max(years) > 1998
@@ -48,7 +48,7 @@ def test_weeks_of_every_year(spark, larger, name):
 
 def test_density_of_the_whole_record(spark, larger):
     days = larger.sql("select count(*) from (select distinct o_orderpriority, o_orderdate::date from orders)").fetchall()[0][0]
-    assert whole(spark, larger, "dense_block_density_whole", 5)["n"].astype(int).sum() == days
+    assert whole(spark, larger, "dense_block_density", 5)["n"].astype(int).sum() == days
 
 
 def test_covariance_is_fitted_on_every_year(spark, sf):
@@ -70,13 +70,13 @@ def test_the_likelihood_counts_every_part(spark, sf):
 
 
 def test_runs_of_every_supplier(spark, larger):
-    whole(spark, larger, "run_enumeration_whole", 3 * 5 * 100)
+    whole(spark, larger, "run_enumeration", 3 * 5 * 100)
 
 
 def test_layout_of_vectors_with_large_ids(spark, tmp_path):
     duckdb.sql(f"copy (select vec_id + 1990 as vec_id, * exclude (vec_id) from '{SF}/embeddings.parquet' where vec_id < 20) to '{tmp_path}/embeddings.parquet'")
-    rows = catalog.QUERIES["layout_roundtrip_whole"](spark, str(tmp_path)).collect()
+    rows = catalog.QUERIES["layout_roundtrip"](spark, str(tmp_path)).collect()
     connection = duckdb.connect()
     connection.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
-    want = connection.sql(catalog.ORACLE["layout_roundtrip_whole"]).fetchall()
+    want = connection.sql(catalog.ORACLE["layout_roundtrip"]).fetchall()
     assert {(r["vec_id"], r["entry"], r["value"]) for r in rows} == set(want) and len(rows) == len(want) == 80
