@@ -6,17 +6,25 @@ proportion to its weight over its tokens, scaled to the wanted share of all toke
 documents are all kept pass what is missing on to the others. A document is kept where a hash of its id and text is below
 its probability, so the draw doesn't depend on partitions and repeats exactly.
 
-Counts are over all documents. The cell table is small and is raked in memory where it has at most ``CELLS`` rows; a
-larger one is raked by the same steps as DataFrame aggregations.
+The topic is the one whose terms a document holds most often (``TERMS``, fixed words), ``general`` where that is fewer
+than two or under one word in ``TERM_SHARE``; of equal topics the first by name.
+
+Counts are over all documents. A cell table of at most ``CELLS`` rows is raked in memory, a larger one by the same steps as
+DataFrame aggregations. Sums may differ in their last bits between the two, so probabilities are rounded to
+``1 / GRID`` before the draw, by which both keep the same documents. ``fit_gap`` reports the largest difference between a
+target share and its raked share: above ``CLOSE`` where ``ROUNDS`` rounds didn't settle, as with targets that the cells
+can't meet.
 
 Defined results: a null source or language is the level ``unknown``; a null or empty text has no words and is never kept;
 levels without a target share what the targets leave in proportion to their tokens (their own share where no target is
-given); columns of the input named like the added ones are replaced; targets of absent levels are ignored and the rest scaled to 1; an empty table gives an empty result.
+given); columns of the input named like the added ones are replaced; targets of absent levels are ignored and the rest
+scaled to 1; an empty table gives an empty result; rows equal in id and text share one draw.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldloom.llm.shared import Workspace
-from fieldloom.llm.text_kernel import NONSPACE, relieved, slices, utf8, word_spans
+from fieldloom.llm.text_kernel import ALNUM, NONSPACE, relieved, slices, utf8, word_hashes, word_spans
 
 CELLS = 200_000
 ROUNDS = 200
@@ -38,28 +46,39 @@ MARGINS = ("source", "lang", "topic")
 TARGETS: dict[str, dict[str, float]] = {
     "source": {"*": 1.0},
     "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "*": 0.1},
-    "topic": {"prose": 0.8, "brief": 0.1, "table": 0.05, "noise": 0.05},
+    "topic": {"general": 0.9, "*": 0.1},
 }
 #: Share of all tokens that the mixture keeps.
 KEEP = 0.5
 SEED = 20240607
-ADDED = ("topic", "n_words", "weight", "p_keep", "kept")
+ADDED = ("topic", "n_words", "weight", "p_keep", "kept", "fit_gap")
+GRID = 1 << 24
+#: Words (fixed values, lower case) that speak for a topic; a word may be any run of letters and digits.
+TERMS: dict[str, str] = {
+    "commerce": "price prices order orders shipping cart discount offer sale customer customers payment invoice product products",
+    "legal": "license licensed copyright warranty liability rights reserved agreement law permission terms court clause attorney gpl",
+    "science": "study method methods results data analysis experiment theory model measure temperature cell energy species",
+    "technical": "function class return import server http https www api key token password config error file code user login",
+    "contact": "email mail phone tel fax street address contact call",
+}
+TERM_SHARE = 200
+TOPICS = ("general", *sorted(TERMS))
 
 
-#: Bytes that set a kind of content apart: cell marks, and signs other than punctuation.
-_CELLS = np.zeros(256, bool)
-_CELLS[ord("|")] = True
-_SIGNS = np.zeros(256, bool)
-_SIGNS[[ord(c) for c in "#$%&*!@+=<>{}[]^~"]] = True
-_BEGINS = (np.arange(256) & 0xC0) != 0x80  # of a code point
-KINDS = ("prose", "brief", "noise", "table")
+@lru_cache(maxsize=1)
+def _terms() -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the terms, ascending, and the topic of each."""
+    held = [(w, k) for k, topic in enumerate(sorted(TERMS)) for w in TERMS[topic].split()]
+    raw, offsets = utf8(pa.array([w for w, _ in held]))
+    hashes = word_hashes(raw, offsets[:-1], offsets[1:])
+    order = np.argsort(hashes)
+    return hashes[order], np.array([k for _, k in held])[order]
 
 
 def measured(docs: DataFrame, kept: list[str]) -> DataFrame:
     """The columns ``kept`` of ``docs`` with ``__mix_words`` and ``__mix_topic`` of the text.
 
-    Words are runs without ASCII white space. The kinds of content are table (a cell mark in fifty characters), noise (a
-    sign in twenty), brief (under 400 characters), else prose.
+    Words are runs without ASCII white space.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,20 +95,20 @@ def measured(docs: DataFrame, kept: list[str]) -> DataFrame:
 
 def _measures(text: pa.Array) -> tuple[pa.Array, pa.Array]:
     raw, offsets = utf8(text)
+    hashes, topics = _terms()
     counts, kinds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for lo, hi in slices(offsets):
         part, at = raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-
-        def number(table: np.ndarray, part: np.ndarray = part, at: np.ndarray = at) -> np.ndarray:
-            total = np.concatenate([np.zeros(1, np.int64), np.cumsum(table[part], dtype=np.int64)])
-            return total[at[1:]] - total[at[:-1]]
-
-        size = number(_BEGINS)
-        kind = np.where(size < 400, 1, 0)
-        kind = np.where(20 * number(_SIGNS) >= size + 20, 2, kind)
-        kinds.append(np.where(50 * number(_CELLS) >= size + 50, 3, kind))
+        starts, ends, first = word_spans(part, at, ALNUM)
+        words = word_hashes(part, starts, ends)
+        place = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
+        hit = np.flatnonzero(hashes[place] == words)
+        owner = np.searchsorted(first, hit, "right") - 1
+        held = np.bincount(owner * len(TERMS) + topics[place[hit]], minlength=(hi - lo) * len(TERMS)).reshape(-1, len(TERMS))
+        most = held.max(1)
+        kinds.append(np.where((most >= 2) & (TERM_SHARE * most >= np.diff(first)), held.argmax(1) + 1, 0))
         counts.append(np.diff(word_spans(part, at, NONSPACE)[2]))
-    topic = pa.DictionaryArray.from_arrays(pa.array(np.concatenate(kinds).astype(np.int32)), pa.array(KINDS)).cast(pa.string())
+    topic = pa.DictionaryArray.from_arrays(pa.array(np.concatenate(kinds).astype(np.int32)), pa.array(TOPICS)).cast(pa.string())
     return pa.array(np.concatenate(counts), pa.int64()), topic
 
 
@@ -106,8 +125,8 @@ def shares(tokens: pd.Series, target: Mapping[str, float]) -> pd.Series:
     return out / out.sum()
 
 
-def rake(cells: pd.DataFrame, targets: Mapping[str, Mapping[str, float]], rounds: int = ROUNDS, close: float = CLOSE) -> np.ndarray:
-    """Weights of cells (columns of MARGINS and ``tokens`` > 0) that fit the marginal shares, summing to 1."""
+def rake(cells: pd.DataFrame, targets: Mapping[str, Mapping[str, float]], rounds: int = ROUNDS, close: float = CLOSE) -> tuple[np.ndarray, float]:
+    """Weights of cells (columns of MARGINS and ``tokens`` > 0) that fit the marginal shares, summing to 1, and the gap left."""
     weight = cells["tokens"].to_numpy(float) / cells["tokens"].sum()
     steps = []
     for m in MARGINS:
@@ -122,10 +141,11 @@ def rake(cells: pd.DataFrame, targets: Mapping[str, Mapping[str, float]], rounds
             weight = weight * np.divide(want, have, out=np.zeros_like(want), where=have > 0)[code]
         if off < close:
             break
-    return weight / weight.sum()
+    weight = weight / weight.sum()
+    return weight, max(float(np.abs(np.bincount(code, weight, len(want)) - want).max()) for code, want in steps)
 
 
-def rake_distributed(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], work: Workspace, rounds: int = ROUNDS, close: float = CLOSE) -> DataFrame:
+def rake_distributed(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], work: Workspace, rounds: int = ROUNDS, close: float = CLOSE) -> tuple[DataFrame, float]:
     """``rake`` as aggregations over a cell table of any size; a step of all marginals is written, so lineage stays short."""
     total = cells.agg(F.sum("tokens").alias("total"))
     now = cells.crossJoin(F.broadcast(total)).select(*MARGINS, "tokens", (F.col("tokens") / F.col("total")).alias("weight"))
@@ -156,7 +176,10 @@ def rake_distributed(cells: DataFrame, targets: Mapping[str, Mapping[str, float]
         now = work.keep(now, f"cells-{k + 1}")
         if off < close:
             break
-    return now
+    total = now.agg(F.sum("weight")).first()[0] or 1.0
+    now = now.withColumn("weight", F.col("weight") / total)
+    gaps = [now.groupBy(m).agg(F.sum("weight").alias("have")).join(wants[m], m).agg(F.max(F.abs(F.col("have") - F.col("want")))).first()[0] for m in MARGINS]
+    return now, max((g or 0.0) for g in gaps)
 
 
 def probabilities(tokens: np.ndarray, weight: np.ndarray, keep: float) -> np.ndarray:
@@ -175,7 +198,7 @@ def probabilities(tokens: np.ndarray, weight: np.ndarray, keep: float) -> np.nda
 
 
 def mixture(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, keep: float = KEEP, seed: int = SEED, cells_bound: int = CELLS, rounds: int = ROUNDS) -> DataFrame:
-    """``docs(doc_id, text, lang, source, ...)`` with ``topic, n_words, weight, p_keep, kept``; all columns and rows stay.
+    """``docs(doc_id, text, lang, source, ...)`` with ``topic, n_words, weight, p_keep, kept, fit_gap``; all columns and rows stay.
 
     ``weight`` is the raked weight of the document's cell, ``p_keep`` its calibrated probability, ``kept`` the draw.
     """
@@ -190,18 +213,19 @@ def mixture(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGET
     cells = work.keep(cells, "counts")
     if cells.limit(cells_bound + 1).count() <= cells_bound:
         table = cells.orderBy(*MARGINS).toPandas()
-        table["weight"] = rake(table, targets, rounds) if len(table) else np.zeros(0)
+        table["weight"], gap = rake(table, targets, rounds) if len(table) else (np.zeros(0), 0.0)
         table["p_keep"] = probabilities(table["tokens"].to_numpy(float), table["weight"].to_numpy(float), keep) if len(table) else np.zeros(0)
         schema = "source string, lang string, topic string, weight double, p_keep double"
         plan = spark.createDataFrame(table[[*MARGINS, "weight", "p_keep"]].values.tolist(), schema)
         plan = F.broadcast(plan)  # cells_bound rows at most
     else:
-        plan = _calibrated(rake_distributed(cells, targets, work, rounds), keep)
+        raked, gap = rake_distributed(cells, targets, work, rounds)
+        plan = _calibrated(raked, keep)
     plan = plan.withColumnsRenamed({m: f"__mix_cell_{m}" for m in MARGINS})
     on = [F.col(level[m]) == F.col(f"__mix_cell_{m}") for m in MARGINS]
     plan = plan.withColumnsRenamed({"weight": "__mix_weight", "p_keep": "__mix_p"})
     out = marked.join(plan, on, "left")
-    p = F.coalesce(F.col("__mix_p"), F.lit(0.0))
+    p = F.rint(F.coalesce(F.col("__mix_p"), F.lit(0.0)) * GRID) / GRID
     return out.select(
         *(c for c in docs.columns if c.lower() not in ADDED),
         F.col(level["topic"]).alias("topic"),
@@ -209,6 +233,7 @@ def mixture(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGET
         F.coalesce("__mix_weight", F.lit(0.0)).alias("weight"),
         p.alias("p_keep"),
         ((F.col("__mix_words") > 0) & (F.col("__mix_draw") < p)).alias("kept"),
+        F.lit(gap).alias("fit_gap"),
     )
 
 

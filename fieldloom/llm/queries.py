@@ -37,7 +37,7 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return mixing.mixture(docs).select("doc_id", "source", "lang", "topic", "n_words", "weight", "p_keep", "kept")
+    return mixing.mixture(docs).select("doc_id", "source", "lang", "topic", "n_words", "weight", "p_keep", "kept", "fit_gap")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
