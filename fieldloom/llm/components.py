@@ -40,6 +40,7 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
         if not state["n"]:
             break
         now = work.keep(_small_star(_large_star(now)), f"{name}-{k + 1}")
+        work.drop(f"{name}-{k}")
     else:
         raise RuntimeError("components didn't settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

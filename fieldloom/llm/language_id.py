@@ -7,7 +7,7 @@ normalised phrases wins.
 
 Texts are lower-cased; every run of other characters than letters is one space. Each letter of the samples has its own
 symbols: the most frequent ``LETTERS`` one each, the others a code of several. The texts of a batch step through the
-automata's transition tables together; the last few long ones are finished one by one.
+automata's transition tables together, the long ones first; the last few are finished one by one.
 
 The sample is drawn over distinct texts, so copies neither crowd it nor leave it empty: of each language the texts with
 the least hashes, of each a stretch that begins at a place given by the hash. With many languages each gets less, so that
@@ -42,10 +42,10 @@ SAMPLE_TOTAL = 400_000
 #: Letters that have one symbol each, the most frequent of the samples; of the others' codes, the values of a place.
 LETTERS = 200
 DIGITS = 16
-#: Texts that still step together; fewer are finished one by one.
-TOGETHER = 16
+#: Texts that step together, a new one in the place of each that ends; the last few are finished one by one.
+LANES, TOGETHER = 512, 16
 #: Bytes of text that are parsed at a time.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 UNKNOWN = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -163,50 +163,60 @@ class Classifier:
     def phrases(self, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases that each text needs in each language: an array of texts by languages."""
         size = np.diff(offsets)
+        out = np.zeros((len(size), len(self.names)), np.int64)
         order = np.argsort(-size, kind="stable")
-        begin, size = offsets[:-1][order], size[order]
-        root = self.root[:, None]
-        state = np.zeros((len(self.names), len(size)), np.int64)
-        count = np.zeros((len(self.names), len(size)), np.int64)
-        t, n = 0, int((size > 0).sum())
-        while n > TOGETHER:
-            symbol = symbols[begin[:n] + t].astype(np.int64)[None, :]
-            to = self.table[root + state[:, :n] * self.width + symbol]
-            miss = to == 0
-            count[:, :n] += miss
-            state[:, :n] = np.where(miss, self.table[root + symbol], to)
-            t += 1
-            while n and size[n - 1] <= t:
-                n -= 1
+        order = order[: int((size > 0).sum())]
+        root, following = self.root[:, None], min(LANES, len(order))
+        text = order[:following]
+        at, end = offsets[text], offsets[text + 1]
+        state, count = (np.zeros((len(self.names), following), np.int64) for _ in range(2))
+        while len(text) > TOGETHER or (following < len(order) and len(text)):
+            for _ in range(int((end - at).min())):
+                symbol = symbols[at].astype(np.int64)[None, :]
+                to = self.table[root + state * self.width + symbol]
+                miss = to == 0
+                count += miss
+                state = np.where(miss, self.table[root + symbol], to).astype(np.int64)
+                at = at + 1
+            done = at == end
+            out[text[done]] = count[:, done].T + 1
+            fresh = order[following : following + int(done.sum())]
+            following += len(fresh)
+            free = np.flatnonzero(done)
+            text[free[: len(fresh)]] = fresh
+            at[free[: len(fresh)]], end[free[: len(fresh)]] = offsets[fresh], offsets[fresh + 1]
+            state[:, free], count[:, free] = 0, 0
+            if len(fresh) < len(free):
+                keep = np.ones(len(text), bool)
+                keep[free[len(fresh) :]] = False
+                text, at, end, state, count = text[keep], at[keep], end[keep], state[:, keep], count[:, keep]
         table, width = memoryview(self.table), self.width
-        for k in range(n):
-            rest = symbols[begin[k] + t : begin[k] + size[k]].tobytes()
+        for k in range(len(text)):
+            rest = symbols[at[k] : end[k]].tobytes()
             for j, first in enumerate(self.root.tolist()):
-                now, found = int(state[j, k]), 0
+                now, found = int(state[j, k]), 1 + int(count[j, k])
                 for s in rest:
                     to = table[first + now * width + s]
                     if not to:
                         found += 1
                         to = table[first + s]
                     now = to
-                count[j, k] += found
-        out = np.zeros((len(size), len(self.names)), np.int64)
-        out[order] = (count + (size > 0)).T
+                out[text[k], j] = found
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         codes = np.frombuffer("".join(f" {x} " for x in texts).encode("utf-32-le", "replace"), np.uint32)  # words have edges
         offsets = np.concatenate([[0], np.cumsum([len(x) + 2 for x in texts])]).astype(np.int64)
         low = _letters()[codes]
-        letters = np.concatenate([[0], np.cumsum(low > 0)])
-        known = (letters[offsets[1:]] - letters[offsets[:-1]]) > 0
+        known = np.maximum.reduceat(low, offsets[:-1]) > 0  # no text is empty, its edges included
         if not self.names or not known.any():
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
         low[low == 0] = 0x20
         keep = _kept(low == 0x20)
         keep[offsets[:-1]] = True  # whatever text stands before
-        kept = np.concatenate([[0], np.cumsum(keep)])
-        symbols, offsets = self.symbols(low[keep], kept[offsets])
+        kept = np.add.reduceat(keep, offsets[:-1], dtype=np.int64)
+        symbols, offsets = self.symbols(low[keep], np.concatenate([[0], np.cumsum(kept)]))
+        del low, keep, codes
         cost = self.phrases(symbols, offsets) * np.array(self.bits) / np.maximum(1, np.diff(offsets))[:, None]
         best = cost.argmin(1)
         low_cost = cost.min(1)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldloom.llm import chat_links, dac, html_extract, jaccard_join, language_id, license_rules, media, mixing, token_counts, winnowing
+from fieldloom.llm.shared import bounded
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,24 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.staging import Workspace, shared_root
 
-__all__ = ["Workspace", "shared_root", "without", "bitmap", "in_bitmap"]
+__all__ = ["Workspace", "bounded", "shared_root", "without", "bitmap", "in_bitmap"]
+
+
+#: Rows of a batch that goes to a Python worker: whole texts stand in it, in the engine's memory and in the worker's.
+BATCH_ROWS = 2_000
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session with batches of at most ``BATCH_ROWS`` rows for Python workers; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return spark
 
 
 #: Ids that a broadcast of keys may hold (8 bytes each); beyond, the join shuffles.
