@@ -40,6 +40,33 @@ def test_run_is_its_stages(spark, sf):
     assert [n for n, _ in P.STAGES] == ["language", "near_duplicates", "decontaminate", "mixture", "token_ids"]
 
 
+def test_null_and_repeated_ids(spark, sf):
+    """Each row is judged by its own text, whatever its id."""
+    columns = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+    text = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en' and n_chars between 400 and 3000").orderBy("doc_id").first()["text"]
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("size(split(text, ' ')) > 12").orderBy("item_id").first()["text"]
+    other = "an entirely different text of some words that stands alone under an id that repeats"
+    twice = "yet another one that is repeated with its own id and holds words which nothing else here shares"
+    rows = [(1, text), (5, text + " end"), (5, other), (None, text), (None, other + " but here"), (None, item), (7, item), (7, "12 34 !!"), (None, "12 34"), (8, twice), (8, twice)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t), f"x{i}") for i, (d, t) in enumerate(rows)], columns)
+
+    learned = spark.read.parquet(f"{sf}/documents.parquet").withColumn("extra", F.lit("x")).select(*docs.columns).union(docs)
+    first = P.language(spark, learned, sf).where("extra <> 'x'")
+    assert sorted(r["extra"] for r in first.collect()) == sorted(f"x{i}" for i in range(len(rows)) if i not in (7, 8))
+
+    second = P.near_duplicates(spark, docs, sf)
+    found = sorted(r["extra"] for r in second.collect())
+    assert second.columns == docs.columns
+    # of near copies the least id, of rows without one the last; of two equal rows either
+    assert [x for x in found if x not in ("x9", "x10")] == ["x0", "x2", "x6", "x7", "x8"] and len(found) == 6
+
+    third = P.decontaminate(spark, docs, sf)
+    assert sorted(r["extra"] for r in third.collect()) == sorted(f"x{i}" for i in range(len(rows)) if i not in (5, 6))
+
+    assert P.mixture(spark, docs, sf).exceptAll(docs).count() == 0
+    assert P.token_ids(spark, docs, sf).count() == len(rows)
+
+
 def test_empty_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
