@@ -32,6 +32,12 @@ def test_special_functions(spark):
     assert low == pytest.approx(3.0) and math.log(9 / 3) / math.log(high) == pytest.approx(1.959963984540054)
 
 
+def test_chi_square_tail_of_many_rows():
+    """Degrees of freedom as of 36 million rows; the values are from the whole series with 45 digits."""
+    for x, want in ((36_037_237.743097238895, 5.744220853733907e-06), (36_000_000 + 0.5 * math.sqrt(72e6), 0.3085167931795037), (36_000_000 - 3 * math.sqrt(72e6), 0.998652886205062)):
+        assert D.chi_square_tail(x, 36_000_000) == pytest.approx(want, abs=1e-7)
+
+
 def test_block_densities_agree():
     g = np.random.default_rng(1)
     r = g.standard_normal((6, 1))
