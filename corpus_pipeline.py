@@ -26,6 +26,8 @@ from fieldloom.llm.shared import Workspace, bounded, without
 
 #: The column that holds the row's hash within a stage.
 ROW = "__row"
+#: Rows of a batch for Python workers: the stages share executors, whose memory fills from stage to stage.
+BATCH_ROWS = 500
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -44,7 +46,7 @@ def _kept(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language."""
-    bounded(spark)
+    bounded(spark, BATCH_ROWS)
     samples = language_id.training_samples(docs, ~language_id.held_out())
     found = Workspace(spark, "language").keep(language_id.identify(_texts(docs), samples), "found")
     # those that are rejected, and those without a label, are the few
@@ -58,7 +60,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates; documents without words are no duplicates."""
-    bounded(spark)
+    bounded(spark, BATCH_ROWS)
     losers, repeated = (x.withColumnRenamed("row", ROW) for x in jaccard_join.losers(docs, 5, 4, 5))
     work = Workspace(spark, "near-duplicates")
     kept = without(_keyed(docs), work.keep(losers, "losers"), ROW)
@@ -72,19 +74,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    bounded(spark)
+    bounded(spark, BATCH_ROWS)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     hit = winnowing.contamination(_texts(docs), items).where("contaminated")
     return without(_keyed(docs), _kept(spark, hit, "decontaminate"), ROW).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    bounded(spark)
+    bounded(spark, BATCH_ROWS)
     return mixing.mixture(docs).where("kept").select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    bounded(spark)
+    bounded(spark, BATCH_ROWS)
     return dac.token_file_digest(docs)
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.llm.shared import Workspace
+from fieldloom.llm.shared import Workspace, local_table
 from fieldloom.llm.text_kernel import relieved, slices, utf8
 
 #: Bounds of the sample that the classifier is fitted on: texts a language and in all, characters of each text, symbols a
@@ -241,7 +241,7 @@ def training_samples(docs: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, ch
     rows = max(1, min(rows, SAMPLE_ROWS_TOTAL // languages))
     symbols = max(200, min(SAMPLE_SYMBOLS, SAMPLE_TOTAL // languages))
     least = texts.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).where(F.col("nth") <= rows).select("lang", "place")
-    picked = spark.createDataFrame([tuple(r) for r in least.collect()], "lang string, place long")  # rows * languages at most
+    picked = local_table(spark, [tuple(r) for r in least.collect()], "lang string, place long")  # rows * languages at most
     begin = F.pmod("place", F.greatest(F.length("text") - chars + 1, F.lit(1))).cast("int") + 1
     stretch = labelled.join(F.broadcast(picked), ["lang", "place"]).groupBy("lang", "place").agg(F.min(F.substring("text", begin, F.lit(chars))).alias("text"))
     found: dict[str, list[tuple[int, str]]] = {}

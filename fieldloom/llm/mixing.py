@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldloom.llm.shared import Workspace
+from fieldloom.llm.shared import Workspace, local_table
 from fieldloom.llm.text_kernel import ALNUM, NONSPACE, relieved, slices, utf8, word_hashes, word_spans
 
 CELLS = 200_000
@@ -216,7 +216,7 @@ def mixture(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGET
         table["weight"], gap = rake(table, targets, rounds) if len(table) else (np.zeros(0), 0.0)
         table["p_keep"] = probabilities(table["tokens"].to_numpy(float), table["weight"].to_numpy(float), keep) if len(table) else np.zeros(0)
         schema = "source string, lang string, topic string, weight double, p_keep double"
-        plan = spark.createDataFrame(table[[*MARGINS, "weight", "p_keep"]].values.tolist(), schema)
+        plan = local_table(spark, table[[*MARGINS, "weight", "p_keep"]].values.tolist(), schema)
         plan = F.broadcast(plan)  # cells_bound rows at most
     else:
         raked, gap = rake_distributed(cells, targets, work, rounds)

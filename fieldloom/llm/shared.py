@@ -3,26 +3,40 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from fieldloom.staging import Workspace, shared_root
 
-__all__ = ["Workspace", "bounded", "shared_root", "without", "bitmap", "in_bitmap"]
+__all__ = ["Workspace", "bounded", "local_table", "shared_root", "without", "bitmap", "in_bitmap"]
 
 
 #: Rows of a batch that goes to a Python worker: whole texts stand in it, in the engine's memory and in the worker's.
 BATCH_ROWS = 2_000
 
 
-def bounded(spark: SparkSession) -> SparkSession:
-    """The session with batches of at most ``BATCH_ROWS`` rows for Python workers; a smaller setting stays."""
+def bounded(spark: SparkSession, rows: int = BATCH_ROWS) -> SparkSession:
+    """The session with batches of at most ``rows`` rows for Python workers; a smaller setting stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
     return spark
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows that the driver holds, as a table that stands in the plan.
+
+    From a list Spark makes an RDD of Python objects, which starts a second pool of Python workers on the executors.
+    """
+    fields = StructType.fromDDL(schema)
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    kinds = to_arrow_schema(fields)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds), fields)
+
+
 #: Ids that a broadcast of keys may hold (8 bytes each); beyond, the join shuffles.
 BROADCAST_KEYS = 2_000_000
 

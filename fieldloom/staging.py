@@ -6,6 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether a query's shuffle files are removed when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, or the folder set by ``setCheckpointDir``; an error where neither is set on a cluster."""
@@ -29,8 +32,14 @@ class Workspace:
         self.spark, self.path = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
+        """The frame, written and to be read again; shuffle files of the write go at once, not with the driver's garbage."""
         to = f"{self.path}/{name}"
-        frame.write.mode("overwrite").parquet(to)
+        held = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            frame.write.mode("overwrite").parquet(to)
+        finally:
+            self.spark.conf.unset(CLEANUP) if held is None else self.spark.conf.set(CLEANUP, held)
         return self.spark.read.schema(frame.schema).parquet(to)
 
     def drop(self, name: str = "") -> None:

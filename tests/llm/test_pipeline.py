@@ -1,7 +1,11 @@
+import time
+
 import corpus_pipeline as P
 from pyspark.sql import functions as F
 
 from fieldloom.llm.language_id import language_id
+from fieldloom.llm.shared import Workspace, local_table
+from fieldloom.staging import CLEANUP
 
 from .helpers import ODD, documents
 from .test_jaccard import brute as components
@@ -72,3 +76,46 @@ def test_empty_documents(spark, sf):
     for _, stage in P.STAGES:
         out = stage(spark, docs, sf)
         assert out.count() == 0
+
+
+def test_no_pool_of_python_workers_beside_the_one_for_batches(spark, sf, monkeypatch):
+    """RDDs of Python objects would start other workers on the executors, which stay beside those of the stages."""
+
+    def refused(*_, **__):
+        raise AssertionError("an RDD of Python objects")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in P.STAGES:
+        assert stage(spark, docs, sf).limit(1).count() == 1, name
+
+
+def test_local_table(spark):
+    rows = [("a", 1.5, 2**60), (None, None, None)]
+    assert [tuple(r) for r in local_table(spark, rows, "x string, y double, z long").collect()] == rows
+    assert local_table(spark, [], "x string, y double").dtypes == [("x", "string"), ("y", "double")]
+
+
+def test_kept_tables_leave_no_shuffle_files(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {x.rpartition("/")[2] for x in found if "shuffle_" in x}
+
+    work, before = Workspace(spark, "shuffles"), files()
+    kept = work.keep(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count(), "counts")
+    until = time.time() + 10  # they are removed in the background
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and kept.agg(F.sum("count")).first()[0] == 10_000 and spark.conf.get(CLEANUP, "false") == "false"
+    work.drop()
+
+
+def test_batches_of_the_stages_are_small(spark, sf):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        P.token_ids(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+        assert int(spark.conf.get(name)) == P.BATCH_ROWS == 500
+    finally:
+        spark.conf.set(name, held)
